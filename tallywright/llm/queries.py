@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from tallywright.llm import decontam, simhash
+from tallywright.llm import bpe, decontam, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
+    "op2_secret_scan": secret_scan.op2,
     "op3_simhash_dedup": simhash.op3,
+    "op6_byte_bpe": bpe.op6,
+    "op8_warc": warc.op8,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1
+        )
+        SELECT page_id, payload_bytes, d.payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest
+    """,
+}

@@ -15,7 +15,8 @@ components of all edges follow from distributed star rounds.
 
 Edge cases: null, empty and all-space texts have fingerprint zero and link
 like others; a text of one or two words is one shingle; repeated rows share a
-component; an empty table gives an empty result; other columns are ignored.
+component; a row whose doc_id is null has no component and links nothing; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
     prints = scratch.keep(
         documents.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "prints"
     )
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "distinct")
+    distinct = scratch.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "distinct")
     total = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64)
     depth = max(0, math.ceil(math.log2(max(1, total / SHARD))))
@@ -224,7 +225,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
     labelled = distinct.join(parts, distinct["rep"] == parts["node"], "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
