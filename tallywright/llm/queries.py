@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import bpe, decontam, secret_scan, simhash, suffix_dedup, warc
+from tallywright.llm import bpe, decontam, multi_index, secret_scan, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_dedup": simhash.op3,
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_multi_index": multi_index.op7,
     "op8_warc": warc.op8,
 }
 
