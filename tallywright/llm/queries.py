@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import bpe, decontam, langid, multi_index, secret_scan, simhash, suffix_dedup, warc
+from tallywright.llm import bpe, cotrain, decontam, langid, multi_index, secret_scan, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_multi_index": multi_index.op7,
     "op8_warc": warc.op8,
     "op9_language_id": langid.op9,
+    "op10_quality": cotrain.op10,
 }
 
 ORACLES: dict[str, str] = {
