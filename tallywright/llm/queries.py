@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallywright.llm import bpe, cotrain, decontam, langid, multi_index, secret_scan, simhash, suffix_dedup, warc
+from tallywright.llm import bpe, cotrain, decontam, hmm_lm, langid, multi_index, secret_scan, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
     "op2_secret_scan": secret_scan.op2,
     "op3_simhash_dedup": simhash.op3,
+    "op4_hmm_lm": hmm_lm.op4,
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_byte_bpe": bpe.op6,
     "op7_multi_index": multi_index.op7,
