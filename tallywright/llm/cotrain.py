@@ -286,5 +286,23 @@ def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     )
 
 
+def _filter_pass(held, columns: list[str]):
+    scored = _score_pass(held)
+
+    def run(batches):
+        for batch in batches:
+            five = pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in ("doc_id", "text", "source", "lang", "n_chars")], ["doc_id", "text", "source", "lang", "n_chars"])
+            for out in scored([five]):
+                yield batch.filter(out.column(4))
+
+    return run
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns, in one narrow pass."""
+    held = documents.sparkSession.sparkContext.broadcast(train(documents, labels, labelled, pool))
+    return documents.mapInArrow(_filter_pass(held, documents.columns), documents.schema)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

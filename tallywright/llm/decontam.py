@@ -187,15 +187,20 @@ def decontaminate(
     window: int = WINDOW,
     shingle: int = SHINGLE,
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans): spans are the word ranges of found windows."""
+    """(doc_id, n_words, n_hit, items, spans): spans are the word ranges of found windows.
+
+    Columns of ``documents`` named in ``carry`` come along.
+    """
     spark: SparkSession = documents.sparkSession
     items = benchmark.where("text is not null").select("item_id", "text")
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-volume // block_bytes))
-    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = ["doc_id", "text", "n_words", "spans", "items"]
-    kind = found.schema["doc_id"].dataType.simpleString()
+    own = ["doc_id", "text", *(c for c in carry if c not in ("doc_id", "text"))]
+    found = documents.select(own)
+    names = [*own, "n_words", "spans", "items"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         index = WindowIndex([(r[0], r[1].encode()) for r in part.toLocalIterator()], window, shingle)
@@ -206,7 +211,7 @@ def decontaminate(
         chosen = spark.sparkContext.broadcast(index)
         found = found.mapInArrow(
             _match_pass(lambda h=chosen: h.value, 1, names),
-            f"doc_id {kind}, text string, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>",
+            f"{kinds}, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>",
         )
     # Spans are sorted by start: a word counts once, where its reach goes beyond all spans before.
     covered = F.aggregate(
@@ -218,7 +223,7 @@ def decontaminate(
         ),
         lambda acc: acc["n"],
     )
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.array_sort("items").alias("items"), "spans")
+    return found.select("doc_id", *(c for c in carry if c != "doc_id"), "n_words", covered.alias("n_hit"), F.array_sort("items").alias("items"), "spans")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
