@@ -1,4 +1,258 @@
-"""Registered queries over the statement ledger and their SQL oracles."""
+"""Registered queries over the driver's tables, one or more for each operator."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywright.functions import amounts, bbox, dates, iban
+from tallywright.operators import documents, layout, reports, rows
+from tallywright.operators import transactions as txn
+from tallywright.oracles import ORACLES
+from tallywright.sources import ledger as source
+from tallywright.sources import templates
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+col = F.col
+
+
+def _ledger(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(source.ledger(spark, sf_dir))
+
+
+def _cells(named: Callable[[], dict[str, Column]]) -> Query:
+    """Columns are made when the query runs, as they need a session."""
+    return _ledger(lambda df: df.select("ord", *[c.alias(n) for n, c in named().items()]))
+
+
+def _filtered(keep: Callable[[DataFrame], DataFrame]) -> Query:
+    return _ledger(lambda df: keep(df).select("ord"))
+
+
+def _words(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(source.words(spark, sf_dir))
+
+
+def _typed_rows(df: DataFrame) -> DataFrame:
+    return layout.words_to_columns(df).withColumn("row_type", rows.row_type())
+
+
+def _pages(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(source.pages_text(spark, sf_dir))
+
+
+def _files(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(source.statement_files(spark, sf_dir))
+
+
+def _joined(make) -> Query:
+    return lambda spark, sf_dir: make(source.ledger(spark, sf_dir), source.statement_files(spark, sf_dir))
+
+
+def _marked(key: Callable[[], Column], typed: bool = False) -> Query:
+    def run(spark, sf_dir):
+        df = source.duplicated_ledger(spark, sf_dir)
+        return txn.mark_duplicates(txn.classify_types(df) if typed else df, key()).select("ord", "is_duplicate")
+
+    return run
+
+
+def _by_account(spark, sf_dir):
+    df = txn.by_iban(source.duplicated_ledger(spark, sf_dir), source.statement_files(spark, sf_dir))
+    return txn.mark_duplicates(df, txn.key_all_fields(), "account_suffix").select("ord", "is_duplicate")
+
+
+def _run_summary(spark, sf_dir):
+    marked = txn.mark_duplicates(source.duplicated_ledger(spark, sf_dir), txn.key_all_fields())
+    return reports.run_summary(marked, source.statement_files(spark, sf_dir))
+
+
+def _recurring(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("customer "), "o_custkey").alias("details"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"),
+        F.lit(None).cast("string").alias("statement_year"),
+        (F.round(col("o_totalprice") / 1000000) + 20).cast("decimal(18,2)").cast("string").alias("debit"),
+        F.lit("").alias("credit"),
+        col("o_orderkey").alias("ord"),
+    )
+    return reports.recurring_charges(orders)
+
+
+def _currency_format(df: DataFrame) -> DataFrame:
+    value = amounts.to_float(col("debit")).cast("decimal(18,2)")
+    return df.select("ord", amounts.format_currency(value).alias("shown"))
+
+
+def _canonical(df: DataFrame) -> DataFrame:
+    named = df.select(
+        col("date").alias("Transaction Date"), col("details").alias("Narrative"), col("debit").alias("Debit €"), col("credit").alias("Credit Amount"),
+        col("balance").alias("Running Balance"), col("filename").alias("source_pdf"), "ord", "statement_year",
+    )
+    extra = col("additional_fields")
+    return txn.canonical(named).select(
+        "date", "details", "debit", "credit", "balance", "filename", extra["ord"].alias("extra_ord"), extra["statement_year"].alias("extra_year")
+    )
+
+
+def _output(df: DataFrame) -> DataFrame:
+    shown = txn.output_rows(df.withColumn("transaction_type", F.lit("")))
+    return shown.select("Date", "Details", "Debit", "Credit", "Balance", "Filename", "document_type")
+
+
+def _box_overlap(df: DataFrame) -> DataFrame:
+    region = bbox.box(*(F.lit(float(v)) for v in (200, 350, 400, 450)))
+    boxes = df.groupBy("file", "page_no").agg(bbox.bounding().alias("b"))
+    return boxes.select("file", "page_no", bbox.overlaps(col("b"), region).alias("touches"), F.round(bbox.overlap_ratio(col("b"), region), 6).alias("ratio"))
+
+
+def _post_processed(df: DataFrame) -> DataFrame:
+    merged = rows.merge_continuations(layout.build_rows(df))
+    return rows.post_process(merged)
+
+
+def _card_numbers(spark, sf_dir):
+    pattern = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.size(found).cast("long").alias("n_cards"), documents.first_match(col("text"), [pattern]).alias("first_card"))
+
+
+def _iban_ledger(df: DataFrame) -> DataFrame:
+    clean = iban.clean_iban(col("iban"))
+    return df.where("iban is not null").select("filename", iban.mask_iban(clean).alias("masked"), F.sha2(clean, 256).alias("digest"))
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return documents.template_scores(df, templates.SAMPLES).withColumn("score", F.round("score", 6))
+
+
+def _iban_words(df: DataFrame) -> DataFrame:
+    """Pages with an account number printed over the table."""
+    first = df.groupBy("file", "page_no").agg(F.min("word_seq").alias("s"))
+    parts = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(float(60 + 40 * k)).alias("x0"), F.lit(k).alias("k")) for k, t in enumerate(("IE29", "AIBK", "9311", "5212", "3456", "78"))])
+    number = first.select("file", "page_no", "s", F.explode(parts).alias("p")).select(
+        "file", "page_no", (col("s") - 10 + col("p.k")).alias("word_seq"), col("p.text").alias("text"), col("p.x0").alias("x0"),
+        (col("p.x0") + 35).alias("x1"), F.lit(50.0).alias("top"), F.lit(58.0).alias("bottom"),
+    )
+    return df.select(number.columns).unionByName(number)
+
+
+def _iban_spatial(df: DataFrame) -> DataFrame:
+    words = _iban_words(df)
+    tables = layout.expand_tables(df.groupBy("file", "page_no").agg(F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1")))
+    return layout.best_candidate(layout.score_candidates(layout.outside_tables(layout.iban_candidates(words), tables), 842.0))
+
+
+QUERIES: dict[str, Query] = {
+    "monthly_summary": _ledger(reports.monthly_summary),
+    "column_totals": _ledger(lambda df: reports.column_totals(df)),
+    "totals_row": _ledger(lambda df: reports.totals_row(reports.column_totals(df), ("date", "details", "debit", "credit", "balance"))),
+    "expense_statistics": _ledger(reports.expense_statistics),
+    "high_value": _ledger(reports.high_value),
+    "recurring_charges": _recurring,
+    "repeated_vendors": _ledger(reports.repeated_vendors),
+    "similar_descriptions": _ledger(reports.similar_descriptions),
+    "expense_report": _ledger(reports.expense_report),
+    "amount_parse": _cells(
+        lambda: {
+            "debit_value": amounts.to_float(col("debit")),
+            "credit_value": amounts.to_float(col("credit")),
+            "balance_value": amounts.to_float(col("balance"), allow_negative=False),
+        }
+    ),
+    "decimal_amounts": _cells(
+        lambda: {
+            "signed": amounts.signed_amount(col("debit"), col("credit")).cast("double"),
+            "balance": amounts.to_decimal(col("balance")).cast("double"),
+        }
+    ),
+    "currency_format": _ledger(_currency_format),
+    "currency_strip": _cells(lambda: {n: amounts.strip_currency(col(n)) for n in ("debit", "credit")}),
+    "credit_reroute": _cells(lambda: dict(zip(("debit", "credit"), amounts.reroute_credit(col("debit"), col("credit"))))),
+    "date_parse": _cells(lambda: {"parsed": dates.parse_date(col("date"))}),
+    "date_parse_yearless": _cells(
+        lambda: {
+            "parsed": dates.parse_date(col("date"), col("statement_year")),
+            "with_year": dates.add_year(col("date"), col("statement_year")),
+        }
+    ),
+    "filter_empty": _filtered(txn.filter_empty),
+    "filter_header": _filtered(txn.filter_header),
+    "filter_dates": _filtered(txn.filter_dates),
+    "filter_all": _filtered(txn.filter_all),
+    "canonical_projection": _ledger(_canonical),
+    "output_projection": _ledger(_output),
+    "account_group": _joined(lambda df, files: txn.by_iban(df, files).select("ord", "account_suffix")),
+    "card_group": _joined(lambda df, files: txn.by_card(df, files).select("ord", "account_suffix")),
+    "exclude_unknown": _joined(lambda df, files: txn.split_unknown(txn.by_iban(df, files))[1].select("ord", "filename")),
+    "iban_ledger": _files(_iban_ledger),
+    "iban_validate": _files(
+        lambda df: df.where("iban is not null").select("filename", iban.is_valid_iban(iban.clean_iban(col("iban"))).alias("valid"))
+    ),
+    "iban_extract": _files(
+        lambda df: df.select(
+            "filename", iban.find_iban(F.concat(F.lit("Account "), F.coalesce("iban", F.lit("none")), F.lit(", page 1"))).alias("iban")
+        )
+    ),
+    "iban_checksum": _files(
+        lambda df: df.where("iban is not null").select("filename", iban.passes_mod97(iban.clean_iban(col("iban"))).alias("passes"))
+    ),
+    "classify_bank": _cells(lambda: {"kind": txn.type_by_words(col("details"), txn.BANK_WORDS)}),
+    "classify_card": _cells(lambda: {"kind": txn.type_by_words(col("details"), txn.CARD_WORDS)}),
+    "classify_amount": _cells(lambda: {"kind": txn.type_by_amount(col("debit"), col("credit"), col("document_type"))}),
+    "classify_template": _cells(lambda: {"kind": txn.type_by_words(col("details"), {"urgent": ["URGENT"], "various": ["MISC"]})}),
+    "classify_chain": _ledger(lambda df: txn.classify_types(df).select("ord", "transaction_type")),
+    "dedup_all_fields": _marked(txn.key_all_fields),
+    "dedup_date_amount": _marked(txn.key_date_amount),
+    "dedup_card": _marked(txn.key_card, typed=True),
+    "dedup_by_account": _by_account,
+    "dedup_statistics": lambda spark, sf_dir: txn.duplicate_statistics(
+        txn.mark_duplicates(source.duplicated_ledger(spark, sf_dir), txn.key_all_fields())
+    ),
+    "chronological_order": _ledger(lambda df: txn.chronological_rank(df, "filename").select("ord", "position")),
+    "run_summary": _run_summary,
+    "lines_by_y": _words(layout.lines_by_y),
+    "words_to_columns": _words(layout.words_to_columns),
+    "words_to_columns_loose": _words(lambda df: layout.words_to_columns(df, strict_rightmost=False)),
+    "column_coverage": _words(lambda df: layout.column_coverage(layout.words_to_columns(df))),
+    "row_types": _words(lambda df: _typed_rows(df).select("file", "page_no", "y_key", "row_type")),
+    "row_completeness": _words(
+        lambda df: _typed_rows(df).select(
+            "file", "page_no", "y_key", F.round(rows.completeness(), 6).alias("score"), rows.looks_like_date(col("date")).alias("dated")
+        )
+    ),
+    "page_validate": _words(
+        lambda df: rows.validate_pages(_typed_rows(df)).withColumns({c: F.round(c, 6) for c in ("coverage", "ratio")})
+    ),
+    "header_detect": _words(rows.detect_headers),
+    "merge_rows": _words(lambda df: rows.merge_continuations(layout.build_rows(df))),
+    "date_fill": _words(
+        lambda df: _post_processed(df).select("file", "page_no", "row_no", "date", F.round("confidence_score", 6).alias("confidence_score"))
+    ),
+    "boundaries": _words(lambda df: layout.boundaries(layout.typed_lines(df))),
+    "content_density": _words(
+        lambda df: layout.content_density(layout.typed_lines(df, top=0)).withColumn("density", F.round("density", 6))
+    ),
+    "x_clusters": _words(
+        lambda df: layout.x_clusters(df).select("file", "page_no", "cluster", F.round("center", 6).alias("center"), "size")
+    ),
+    "cluster_boundaries": _words(lambda df: layout.cluster_boundaries(layout.x_clusters(df))),
+    "header_columns": _words(layout.header_columns),
+    "text_tables": _words(layout.text_tables),
+    "estimated_rows": _words(lambda df: layout.estimated_rows(layout.text_tables(df))),
+    "multiline_dates": _words(layout.multiline_dates),
+    "crop_region": _words(lambda df: layout.crop(df, 100, 350, 300, 500).select("file", "page_no", "word_seq")),
+    "bbox_overlap": _words(_box_overlap),
+    "iban_spatial": _words(_iban_spatial),
+    "card_detect": _pages(lambda df: df.select("file", documents.is_card_statement(col("text")).alias("is_card"))),
+    "statement_year": _pages(lambda df: df.select("file", documents.statement_year(col("text")).alias("statement_year"))),
+    "document_types": _pages(lambda df: df.select("file", documents.document_type(col("text")).alias("document_type"))),
+    "card_numbers": _card_numbers,
+    "template_scores": _pages(_scores),
+    "template_select": _pages(lambda df: documents.select_template(_scores(df), templates.SAMPLES)),
+}
