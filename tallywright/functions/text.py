@@ -40,3 +40,21 @@ def java_quote(word: str) -> str:
 
 def join_nonempty(parts: list[Column], separator: str = " ") -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), separator)
+
+
+def warnings_to_json(warnings: Column) -> Column:
+    """Warnings as JSON without the page where it is unknown; none gives an empty text."""
+    return F.when(F.size(warnings) > 0, F.to_json(warnings)).otherwise("")
+
+
+def warnings_from_json(encoded: Column) -> Column:
+    """The warnings of a JSON list; entries that are no objects become code UNKNOWN with the entry as message."""
+    entries = F.from_json(encoded, "array<string>")
+
+    def one(entry: Column) -> Column:
+        parsed = F.from_json(entry, "code string, message string, page int")
+        odd = F.struct(F.lit("UNKNOWN").alias("code"), entry.alias("message"), F.lit(None).cast("int").alias("page"))
+        return F.when(entry.startswith("{"), parsed).otherwise(odd)
+
+    none = F.array().cast("array<struct<code:string,message:string,page:int>>")
+    return F.coalesce(F.transform(entries, one), none)

@@ -170,6 +170,26 @@ def default_template(templates: Sequence[Mapping], kind: str | None) -> str:
     return "default" if "default" in ids else enabled[0]["id"]
 
 
+def template_explanation(pages: DataFrame, templates: Sequence[Mapping], weights: Mapping[str, float] = DETECTOR_WEIGHTS) -> DataFrame:
+    """(file, template_id, detector, confidence, weighted): why a template scored as it did; exclusions show as 0."""
+    entries = []
+    for t in templates:
+        if not t.get("enabled", True):
+            continue
+        found = detectors(t) | {"exclusion": F.when(is_excluded(t), 0.0)}
+        for name, confidence in found.items():
+            entries.append(
+                F.struct(
+                    F.lit(t["id"]).alias("template_id"),
+                    F.lit(name).alias("detector"),
+                    confidence.cast("double").alias("confidence"),
+                    (confidence * weights.get(name, 1.0)).cast("double").alias("weighted"),
+                )
+            )
+    every = pages.where("page_no = 1").select("file", F.explode(F.array(*entries)).alias("e")).select("file", "e.*")
+    return every.where("confidence is not null")
+
+
 def select_template(scores: DataFrame, templates: Sequence[Mapping], threshold: float = THRESHOLD) -> DataFrame:
     """(file, template_id, score): the best template of the document's type, or the type's default.
 

@@ -313,6 +313,17 @@ def iban_candidates(words: DataFrame, reach: int = 9, gap: float = 10, tilt: flo
     )
 
 
+def candidates_or_text(candidates: DataFrame, pages: DataFrame, width: float, height: float) -> DataFrame:
+    """Candidates of words; where a page has none, the number in its text, placed in the top third."""
+    found = pages.withColumn("iban", iban.find_iban(F.col("text"))).where("iban is not null")
+    lacking = found.join(candidates.select(*PAGE).distinct(), [*PAGE], "left_anti")
+    placed = lacking.select(
+        *PAGE, F.lit(0).cast("long").alias("word_seq"), "iban", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"),
+        F.lit(float(width)).alias("x1"), F.lit(height / 3).alias("y1"),
+    )
+    return candidates.unionByName(placed)
+
+
 def outside_tables(candidates: DataFrame, tables: DataFrame) -> DataFrame:
     """Spatial anti-join: candidates that touch no table of their page."""
     t = tables.select(F.col("file").alias("tf"), F.col("page_no").alias("tp"), *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])

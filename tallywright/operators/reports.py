@@ -44,6 +44,11 @@ def column_totals(df: DataFrame, patterns=("debit", "credit")) -> DataFrame:
     return df.agg(*[F.coalesce(F.sum(amounts.to_float(F.col(f"`{n}`")).cast(amounts.DECIMAL)), F.lit(0)).cast("double").alias(n) for n in names])
 
 
+def totals_of(df: DataFrame, columns) -> DataFrame:
+    """Sums of the named columns; names that the frame lacks are skipped."""
+    return df.agg(*[F.coalesce(F.sum(amounts.to_float(F.col(f"`{n}`")).cast(amounts.DECIMAL)), F.lit(0)).cast("double").alias(n) for n in columns if n in df.columns])
+
+
 def totals_row(totals: DataFrame, columns) -> DataFrame:
     """TOTAL in the date column, sums with two places, nothing elsewhere."""
     shown = [

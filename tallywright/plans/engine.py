@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +114,22 @@ def make_template(name: str, country: str | None, columns: Mapping[str, tuple],
     }
 
 
+def save_template(template: Mapping, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(template, out, indent=2, ensure_ascii=False)
+
+
+def minimal_template(name: str) -> dict:
+    """What is left where an analysis finds no columns: the default layout."""
+    config = Config()
+    return make_template(name, None, config.columns, config.table_top, config.table_bottom)
+
+
+def validate_template(words: DataFrame, template: Mapping) -> DataFrame:
+    """Rows that a template extracts from first pages, by type: a trial before it is used."""
+    return extract(words.where("page_no = 1"), None, template).groupBy("file", "row_type").count()
+
+
 class Engine:
     """A run over stored words: extraction, accounts, files and log."""
 

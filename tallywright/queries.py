@@ -254,5 +254,9 @@ QUERIES: dict[str, Query] = {
     "document_types": _pages(lambda df: df.select("file", documents.document_type(col("text")).alias("document_type"))),
     "card_numbers": _card_numbers,
     "template_scores": _pages(_scores),
+    "template_explain": _pages(
+        lambda df: documents.template_explanation(df, templates.SAMPLES).withColumn("weighted", F.round("weighted", 6))
+    ),
+    "document_facts": _pages(documents.document_facts),
     "template_select": _pages(lambda df: documents.select_template(_scores(df), templates.SAMPLES)),
 }

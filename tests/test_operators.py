@@ -187,3 +187,26 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     assert spark.table("months").first()["debit"] == 15.0
     query.stop()
+
+
+def test_warnings_as_json(spark):
+    from tallywright.functions import text
+
+    df = spark.createDataFrame([('[{"code":"A","message":"m","page":2}, "odd"]',), (None,)], "j string")
+    got = [[tuple(w) for w in r[0]] for r in df.select(text.warnings_from_json(F.col("j"))).collect()]
+    assert got == [[("A", "m", 2), ("UNKNOWN", "odd", None)], []]
+
+
+def test_number_of_the_text_where_words_have_none(spark):
+    empty = layout.iban_candidates(spark.createDataFrame(statement(), WORD))
+    pages = spark.createDataFrame([("f.pdf", 1, "IBAN IE29AIBK93115212345678")], "file string, page_no int, text string")
+    row = layout.candidates_or_text(empty, pages, 600, 840).first()
+    assert (row.iban, row.y1) == ("IE29AIBK93115212345678", 280.0)
+
+
+def test_explanation_and_trial(spark):
+    pages = spark.createDataFrame([("a_aib.pdf", 1, "IBAN: IE29AIBK93115212345678 draft only")], "file string, page_no int, text string")
+    said = {(r.template_id, r.detector): r.confidence for r in documents.template_explanation(pages, templates.SAMPLES).collect()}
+    assert said[("bank_a", "iban")] == 1.0 and said[("bank_a", "exclusion")] == 0.0 and said[("bank_a", "filename")] == 0.8
+    words = spark.createDataFrame(statement(), WORD)
+    assert engine.validate_template(words, engine.minimal_template("Any")).first()["count"] == 5
