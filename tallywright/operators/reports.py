@@ -67,23 +67,57 @@ def with_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("amount", amounts.absolute_amount(F.col("debit"), F.col("credit")))
 
 
+def exact_median(df: DataFrame, column: str, cells: int = 4096) -> DataFrame:
+    """One row, ``median_amount``: the exact median without gathering all values in one task.
+
+    A first pass counts values in equal cells of their range; running counts
+    over the cells (a bounded number) tell which of them hold the middle
+    values. Only those cells' distinct values are then ordered.
+    """
+    value = F.col(column).cast("double")
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("all"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    placed = df.where(value.isNotNull()).select(value.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    placed = placed.crossJoin(F.broadcast(ends)).withColumn("cell", F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int"))
+    counts = placed.groupBy("cell", "all").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("cell"))
+    middle = (
+        counts.withColumn("upto", upto)
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .where((F.col("before") < F.floor((F.col("all") + 2) / 2)) & (F.col("upto") >= F.floor((F.col("all") + 1) / 2)))
+        .select(F.col("cell").alias("c"), F.col("before"))
+    )
+    near = placed.join(F.broadcast(middle), F.col("cell") == F.col("c"))
+    ranked = near.withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
+    first = F.col("last") - F.col("n") + 1
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    hit = lambda k: F.max(F.when((first <= k) & (F.col("last") >= k), F.col("v")))
+    return ranked.agg(((hit(low) + hit(high)) / 2).alias("median_amount"))
+
+
 def expense_statistics(df: DataFrame) -> DataFrame:
     """One row: mean, median, sample deviation, debits and credits over positive amounts."""
     valued = with_amount(df).where("amount > 0")
     is_debit = ~text.is_blank(F.col("debit"))
     zero = F.lit(0.0)
-    return valued.agg(
+    sums = valued.agg(
         F.coalesce(F.round(F.avg(F.col("amount").cast("double")), 2), zero).alias("mean_amount"),
-        F.coalesce(F.round(F.median(F.col("amount").cast("double")), 2), zero).alias("median_amount"),
         F.coalesce(F.round(F.stddev_samp(F.col("amount").cast("double")), 2), zero).alias("std_amount"),
         F.coalesce(rounded(F.sum(F.when(is_debit, F.col("amount")))), zero).alias("total_debits"),
         F.coalesce(rounded(F.sum(F.when(~is_debit, F.col("amount")))), zero).alias("total_credits"),
     )
+    median = exact_median(valued, "amount").select(F.coalesce(F.round("median_amount", 2), zero).alias("median_amount"))
+    return sums.crossJoin(F.broadcast(median)).select("mean_amount", "median_amount", "std_amount", "total_debits", "total_credits")
 
 
 def high_value(df: DataFrame, order: str = "ord") -> DataFrame:
     """Rows whose amount is beyond the mean by more than two deviations, both as reported."""
-    stats = F.broadcast(expense_statistics(df).select("mean_amount", "std_amount"))  # one row
+    amount = F.col("amount").cast("double")
+    stats = F.broadcast(  # one row
+        with_amount(df)
+        .where("amount > 0")
+        .agg(F.coalesce(F.round(F.avg(amount), 2), F.lit(0.0)).alias("mean_amount"), F.coalesce(F.round(F.stddev_samp(amount), 2), F.lit(0.0)).alias("std_amount"))
+    )
     value = F.col("amount").cast("double")
     return (
         with_amount(df)
@@ -100,23 +134,36 @@ def high_value(df: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def recurring_charges(df: DataFrame, key: str = "details", order: str = "ord") -> DataFrame:
-    """Equal details whose amounts stay within 5 % of their mean at monthly distances."""
+def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
+    """Equal details whose amounts stay within 5 % of their mean at monthly distances.
+
+    The positive gaps between sorted days add up to last minus first, and there
+    is one less of them than there are different days: no window over a
+    vendor's rows is needed, however many a vendor has.
+    """
     valued = with_amount(df).withColumn("day", dates.parse_date(dates.add_year(F.col("date"), F.col("statement_year"))))
-    window = Window.partitionBy(key).orderBy("day", order)
-    gap = F.datediff("day", F.lag("day").over(window))
-    seen = valued.withColumn("gap", F.when(gap > 0, gap))
-    grouped = seen.groupBy(key).agg(
+    value = _positive(F.col("amount"))
+    grouped = valued.groupBy(key).agg(
         F.count("*").alias("n"),
-        F.count(_positive(F.col("amount"))).alias("valued"),
-        F.avg(_positive(F.col("amount")).cast("double")).alias("mean"),
-        F.min(_positive(F.col("amount")).cast("double")).alias("low"),
-        F.max(_positive(F.col("amount")).cast("double")).alias("high"),
-        F.avg("gap").alias("mean_gap"),
+        F.count(value).alias("valued"),
+        F.avg(value.cast("double")).alias("mean"),
+        F.min(value.cast("double")).alias("low"),
+        F.max(value.cast("double")).alias("high"),
+        F.datediff(F.max("day"), F.min("day")).alias("reach"),
+        F.count_distinct("day").alias("days"),
     )
+    gap = F.try_divide(F.col("reach"), F.col("days") - 1)
     steady = (F.col("high") - F.col("mean") <= NEAR * F.col("mean")) & (F.col("mean") - F.col("low") <= NEAR * F.col("mean"))
-    return grouped.where((F.col("n") >= 2) & (F.col("valued") >= 2) & steady & F.col("mean_gap").between(*MONTH_GAP)).select(
-        key, F.col("n").alias("occurrences"), F.round("mean", 2).alias("average_amount"), F.round("mean_gap", 2).alias("average_gap_days"), F.lit("monthly").alias("frequency")
+    return (
+        grouped.withColumn("mean_gap", gap)
+        .where((F.col("n") >= 2) & (F.col("valued") >= 2) & steady & F.col("mean_gap").between(*MONTH_GAP))
+        .select(
+            key,
+            F.col("n").alias("occurrences"),
+            F.round("mean", 2).alias("average_amount"),
+            F.round("mean_gap", 2).alias("average_gap_days"),
+            F.lit("monthly").alias("frequency"),
+        )
     )
 
 

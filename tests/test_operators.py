@@ -210,3 +210,14 @@ def test_explanation_and_trial(spark):
     assert said[("bank_a", "iban")] == 1.0 and said[("bank_a", "exclusion")] == 0.0 and said[("bank_a", "filename")] == 0.8
     words = spark.createDataFrame(statement(), WORD)
     assert engine.validate_template(words, engine.minimal_template("Any")).first()["count"] == 5
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [1.0, 2.0, 10.0, 11.0], [5.0] * 9, [1.0, 1.0, 1.0, 100.0, 1e9], []])
+def test_exact_median(spark, values):
+    import statistics
+
+    from tallywright.operators import reports
+
+    df = spark.createDataFrame([(v,) for v in values], "amount double")
+    for cells in (4096, 2):
+        assert reports.exact_median(df, "amount", cells).first()[0] == (statistics.median(values) if values else None)
