@@ -38,6 +38,9 @@ LABELLED = 12_000
 POOL = 4000
 KEEP = 0.995
 ROUNDS = 3
+#: Documents that a bucket needs to count, and the pull of weights to zero.
+LEAST = 5
+PENALTY = 1e-3
 #: Confident pool documents that a view hands to the other in a round, as a share of the pool.
 EXCHANGED = 0.1
 BUCKETS = 1 << 18
@@ -116,24 +119,41 @@ def _feature_pass(batches):
 
 
 class View:
-    """Logistic regression on buckets (present or not) and a few numbers."""
+    """Logistic regression on buckets (present or not) and a few numbers.
+
+    A bucket counts by the log-ratio of its shares in both classes, so that
+    words that occur alike in both have little say; buckets of fewer than
+    ``LEAST`` documents have none.
+    """
 
     def __init__(self, buckets: int, numbers: int):
         self.sparse, self.dense = np.zeros(buckets), np.zeros(numbers)
 
     def fit(self, index: np.ndarray, edge: np.ndarray, numbers: np.ndarray, target: np.ndarray, weight: np.ndarray, turns: int = 120) -> "View":
         """Full-batch gradient steps with Adagrad rates; classes weigh the same."""
+        size = len(self.sparse)
         row = np.repeat(np.arange(len(target)), np.diff(edge))
+        seen = np.bincount(index, minlength=size)
+        shares = [
+            (np.bincount(index, weights=(weight * (target == k))[row], minlength=size) + 1) / ((weight * (target == k)).sum() + 2) for k in (0, 1)
+        ]
+        ratio = np.where(seen >= LEAST, np.log(shares[1] / shares[0]), 0.0)
+        known = np.flatnonzero(ratio[index])
+        index, row = index[known], row[known]
+        place = np.unique(index)  # only what has a say is trained
+        at, scale = np.searchsorted(place, index), ratio[place]
         weight = weight * np.where(target > 0, 0.5 / max(1e-9, weight[target > 0].sum()), 0.5 / max(1e-9, weight[target == 0].sum()))
-        seen_sparse, seen_dense = np.full(len(self.sparse), 1e-8), np.full(len(self.dense), 1e-8)
+        say, seen_sparse, seen_dense = np.zeros(len(place)), np.full(len(place), 1e-8), np.full(len(self.dense), 1e-8)
         for _ in range(turns):
-            slope = (_sigmoid(self.logit(index, row, numbers, len(target))) - target) * weight
-            sparse = np.bincount(index, weights=slope[row], minlength=len(self.sparse)) + 1e-6 * self.sparse
-            dense = slope @ numbers + 1e-6 * self.dense
+            raw = np.bincount(row, weights=(say * scale)[at], minlength=len(target)) + numbers @ self.dense
+            slope = (_sigmoid(raw) - target) * weight
+            sparse = np.bincount(at, weights=slope[row], minlength=len(place)) * scale + PENALTY * say
+            dense = slope @ numbers + PENALTY * self.dense
             seen_sparse += sparse**2
             seen_dense += dense**2
-            self.sparse -= 0.1 * sparse / np.sqrt(seen_sparse)
+            say -= 0.1 * sparse / np.sqrt(seen_sparse)
             self.dense -= 0.3 * dense / np.sqrt(seen_dense)
+        self.sparse[place] = say * scale
         return self
 
     def logit(self, index, row, numbers, n: int) -> np.ndarray:
