@@ -25,6 +25,7 @@ count; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -44,7 +45,7 @@ START_TEXTS = 400
 START_PASSES = 15
 #: Pseudo-counts that pull each state's emissions to the overall shares.
 PULL = 50.0
-_LANES = 250_000
+_LANES = 150_000
 MODULUS = 5
 
 
@@ -96,7 +97,7 @@ class Coder(dict):
         self.alphabet = alphabet
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = s = self.alphabet.symbol.get(word_key(word), -1)
         if s < 0:
@@ -108,35 +109,39 @@ def _encode_pass(held):
     def run(batches):
         alphabet = held.value
         coder, press = Coder(alphabet), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            out: list[tuple] = []
-            for text in utf8(batch.column(2)):
-                words = tokens(text)
-                symbols = np.array([*map(coder.__getitem__, words), CLASSES], dtype=np.uint16)
-                rare = Counter([words[i] for i in np.flatnonzero(symbols < CLASSES)])
-                sure = symbols[symbols >= CLASSES]
-                known = int((alphabet.count[sure] > 0).sum())
-                out.append(
-                    (
-                        len(symbols),
-                        known,
-                        float(alphabet.base[sure].sum()),
-                        press.compress(symbols.tobytes()),
-                        [{"key": word_key(w), "class": word_class(w), "n": n} for w, n in rare.items()],
-                    )
+        for whole in batches:
+            # slices keep the worker's memory small
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                n_tokens, known, base, packed, edge = [], [], [], [], [0]
+                keys, classes, counts = array("q"), array("i"), array("q")
+                for text in utf8(batch.column(2)):
+                    words = tokens(text)
+                    symbols = np.array([*map(coder.__getitem__, words), CLASSES], dtype=np.uint16)
+                    sure = symbols[symbols >= CLASSES]
+                    n_tokens.append(len(symbols))
+                    known.append(int((alphabet.count[sure] > 0).sum()))
+                    base.append(float(alphabet.base[sure].sum()))
+                    packed.append(press.compress(symbols.tobytes()))
+                    rare = Counter([words[i] for i in np.flatnonzero(symbols < CLASSES)])
+                    keys.extend(map(word_key, rare))
+                    classes.extend(map(word_class, rare))
+                    counts.extend(rare.values())
+                    edge.append(len(keys))
+                rare_words = pa.StructArray.from_arrays(
+                    [pa.array(np.array(x)) for x in (keys, classes, counts)], ["key", "class", "n"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(n_tokens, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(packed, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), rare_words),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "symbols", "rare"],
                 )
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (
-                pa.int64(),
-                pa.int64(),
-                pa.float64(),
-                pa.binary(),
-                pa.list_(pa.struct([("key", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "symbols", "rare"],
-            )
 
     return run
 
@@ -218,7 +223,7 @@ def expected(model: Hmm, texts: list[np.ndarray]):
 
 def _texts(column) -> list[np.ndarray]:
     inflate = zstandard.ZstdDecompressor()
-    return [np.frombuffer(inflate.decompress(p), np.uint16).astype(np.int64) for p in column.to_pylist()]
+    return [np.frombuffer(inflate.decompress(p), np.uint16) for p in column.to_pylist()]
 
 
 def _expect_pass(held):
@@ -262,7 +267,7 @@ def train(encoded: DataFrame, alphabet: Alphabet, classes: dict[int, int], state
     model = Hmm.first(share, states)
     learned = encoded.where("not held_out")
     few = learned.orderBy(F.xxhash64("rid")).limit(START_TEXTS).select("symbols").toArrow()
-    texts = [t[:2000] for t in _texts(few.column(0))]
+    texts = _texts(few.column(0))
     for _ in range(START_PASSES if texts else 0):
         model = model.updated(*expected(model, texts)[:3], share)
     names = [f"s{s}" for s in range(states)]
