@@ -1,16 +1,16 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Symbols are non-negative integers; the last one is zero and occurs nowhere
-else. Bucket-wise induction works on whole buckets with numpy where the
-alphabet is small next to the text; over the large alphabets of reduced
-strings, where buckets hold a suffix or two, the same scans run one by one.
-Both visit each suffix once per scan.
+else. Every scan visits each suffix once, in stretches that numpy handles
+whole, over the bytes as over the large alphabets of reduced strings.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+SHORT = 1 << 20
+
 
 def s_types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it."""
@@ -21,94 +21,102 @@ def s_types(s: np.ndarray) -> np.ndarray:
     return rises[nearest]
 
 
-def induce(s: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, induced from leftmost-smaller suffixes listed in the order ``lms``."""
-    return _induce_buckets(s, sigma, small, lms) if sigma * 64 < len(s) or sigma <= 300 else _induce_each(s, sigma, small, lms)
+def _placed(keys: np.ndarray, sigma: int):
+    """Stable grouping of keys: order, the sorted keys, ranks within equal keys, first places and sizes of groups."""
+    by = np.argsort(keys.astype(np.uint16) if sigma <= 65536 else keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(first, len(keys)))
+    return by, keys, np.arange(len(keys)) - np.repeat(first, sizes), first, sizes
+
 
+def induce(s: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in order, induced from leftmost-smaller suffixes listed in the order ``lms``.
 
-def _induce_buckets(s, sigma, small, lms):
+    Both scans move over whole stretches: what a suffix induces goes to a free
+    place, and all free places lie beyond the first one, so everything before
+    that is ready at once.
+    """
     n = len(s)
-    order = np.zeros(n, dtype=np.int64)
     count = np.bincount(s, minlength=sigma)
+    larger = np.bincount(s[~small], minlength=sigma)
+    # first scan, over larger suffixes and leftmost-smaller ones, bucket by bucket
+    seeds = np.bincount(s[lms], minlength=sigma)
+    begin = np.cumsum(larger + seeds) - larger - seeds
+    line = np.empty(int((larger + seeds).sum()), dtype=np.int64)
+    head, full = begin.copy(), begin + larger
+    by, keys, rank, _, _ = _placed(s[lms], sigma)
+    line[full[keys] + rank] = lms[by]
+    at, bucket = 0, 0
+    while at < len(line):
+        while bucket < sigma:
+            ahead = np.flatnonzero(head[bucket : bucket + 256] < full[bucket : bucket + 256])
+            if len(ahead):
+                bucket += int(ahead[0])
+                break
+            bucket += 256
+        upto = int(head[bucket]) if bucket < sigma else len(line)
+        batch = line[at:upto]
+        at = upto
+        j = batch[batch > 0] - 1
+        j = j[~small[j]]
+        if len(j):
+            by, keys, rank, first, sizes = _placed(s[j], sigma)
+            line[head[keys] + rank] = j[by]
+            head[keys[first]] += sizes
+    # second scan, from the right, over larger and smaller suffixes
     stop = np.cumsum(count)
     start = stop - count
-    by = np.argsort(s[lms], kind="stable")
-    grouped = lms[by]
-    edge = np.searchsorted(s[lms][by], np.arange(sigma + 1))
-    head = start.copy()
-
-    def spread(batch, larger: bool, ends, sign: int):
-        j = batch[batch > 0] - 1
-        j = j[small[j] != larger]
-        if not len(j):
-            return
-        keys = s[j]
-        if len(j) == 1:
-            k = int(keys[0])
-            order[ends[k] if sign > 0 else ends[k] - 1] = j[0]
-            ends[k] += sign
-            return
-        by = np.argsort(keys, kind="stable")
-        keys, j = keys[by], j[by]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        sizes = np.diff(np.append(first, len(keys)))
-        rank = np.arange(len(keys)) - np.repeat(first, sizes)
-        base = ends[keys]
-        order[base + rank if sign > 0 else base - 1 - rank] = j
-        ends[keys[first]] += sign * sizes
-
-    for c in range(sigma):
-        at = start[c]
-        while at < head[c]:
-            upto = head[c]
-            spread(order[at:upto], True, head, 1)
-            at = upto
-        if edge[c] < edge[c + 1]:
-            spread(grouped[edge[c] : edge[c + 1]], True, head, 1)
-    tail = stop.copy()
+    order = np.empty(n, dtype=np.int64)
+    within = np.arange(int(larger.sum())) - np.repeat(np.cumsum(larger) - larger, larger)
+    order[np.repeat(start, larger) + within] = line[np.repeat(begin, larger) + within]
+    tail, empty = stop.copy(), start + larger
     order[0], tail[0] = n - 1, 0
-    for c in range(sigma - 1, -1, -1):
-        at = stop[c]
-        while tail[c] < at:
-            upto = tail[c]
-            spread(order[upto:at][::-1], False, tail, -1)
-            at = upto
-        if start[c] < head[c]:
-            spread(order[start[c] : head[c]][::-1], False, tail, -1)
+    at, bucket = n, sigma - 1
+    while at > 0:
+        while bucket >= 0:
+            low = max(0, bucket - 255)
+            ahead = np.flatnonzero(tail[low : bucket + 1] > empty[low : bucket + 1])
+            if len(ahead):
+                bucket = low + int(ahead[-1])
+                break
+            bucket = low - 1
+        downto = int(tail[bucket]) if bucket >= 0 else 0
+        batch = order[downto:at][::-1]
+        at = downto
+        j = batch[batch > 0] - 1
+        j = j[small[j]]
+        if len(j):
+            by, keys, rank, first, sizes = _placed(s[j], sigma)
+            order[tail[keys] - 1 - rank] = j[by]
+            tail[keys[first]] -= sizes
     return order
 
 
-def _induce_each(s, sigma, small, lms):
-    n = len(s)
-    count = np.bincount(s, minlength=sigma)
-    stop = np.cumsum(count)
-    head, tail = (stop - count).tolist(), stop.tolist()
-    text, rises = s.tolist(), small.tolist()
-    order = [-1] * n
-    for i in lms[::-1].tolist():
-        k = text[i]
-        tail[k] -= 1
-        order[tail[k]] = i
-    # a list iterator sees what is placed ahead of it
-    for i in order:
-        if i > 0 and not rises[i - 1]:
-            k = text[i - 1]
-            order[head[k]] = i - 1
-            head[k] += 1
-    tail = stop.tolist()
-    for i in reversed(order):
-        if i > 0 and rises[i - 1]:
-            k = text[i - 1]
-            tail[k] -= 1
-            order[tail[k]] = i - 1
-    order[0] = n - 1
-    return np.array(order, dtype=np.int64)
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix array of a short reduced string: ranks of twice as many names each turn."""
+    n, step, rank = len(names), 1, names.astype(np.int64)
+    base = max(n, int(rank.max()) + 1) + 1
+    while True:
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: n - step] = rank[step:] + 1
+        pair = rank * base + ahead
+        order = np.argsort(pair)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.append(0, np.cumsum(np.diff(pair[order]) > 0))
+        if rank[order[-1]] == n - 1:
+            return order
+        step *= 2
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffixes of s in order. The recursion ends at strings of up to ``SHORT`` symbols with large alphabets, whose
+    buckets hold hardly more than one suffix: there ranks are doubled instead."""
     n = len(s)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
+    if n <= SHORT and sigma > 300:
+        return doubled(s)
     small = s_types(s)
     lms = np.flatnonzero(small & ~np.append(True, small[:-1]))
     first = induce(s, sigma, small, lms)
@@ -156,13 +164,17 @@ def permuted_lcp(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     reducible[inner] = (s[inner - 1] == s[before[inner] - 1]) & (before[inner - 1] == before[inner] - 1)
     plain = np.flatnonzero(~reducible & (before >= 0))
     value = np.zeros(n, dtype=np.int64)
-    a, b, active = plain, before[plain], np.arange(len(plain))
+    # four symbols at a time while they agree, then one by one; the last symbol is unique and stops both
+    narrow = np.append(s, [0, 0, 0]).astype(np.uint64)
+    four = narrow[:n] | narrow[1 : n + 1] << np.uint64(16) | narrow[2 : n + 2] << np.uint64(32) | narrow[3 : n + 3] << np.uint64(48)
+    a, b = plain, before[plain]
     grown = np.zeros(len(plain), dtype=np.int64)
-    while len(active):
-        i, j = a[active] + grown[active], b[active] + grown[active]
-        equal = s[i] == s[j]  # the last symbol is unique, so neither runs past the end
-        active = active[equal]
-        grown[active] += 1
+    for words, step in ((four, 4), (s, 1)):
+        active = np.arange(len(plain))
+        while len(active):
+            i, j = a[active] + grown[active], b[active] + grown[active]
+            active = active[words[np.minimum(i, n - 1)] == words[np.minimum(j, n - 1)]]
+            grown[active] += step
     value[plain] = grown
     origin = np.maximum.accumulate(np.where(reducible, 0, here))
     return value[origin] - (here - origin)

@@ -16,7 +16,8 @@ batch and travel to their shards in compressed packs.
 Suffix sorting. A shard joins its distinct segments with separators, builds
 their suffix array by induced sorting (``suffix_array``: types, sorted
 leftmost-smaller substrings, recursion, induction) and the permuted common
-prefixes. Neighbours whose common prefix has ``length`` bytes are equal
+prefixes. At this shard size the recursion ends after one reduction, in rank
+doubling. Neighbours whose common prefix has ``length`` bytes are equal
 windows; the earliest of them stays, the others go.
 
 An owner with more than ``HOT`` occurrences may stand in as many distinct

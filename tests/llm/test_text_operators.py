@@ -225,10 +225,11 @@ def test_forward_equals_sum_over_paths_and_training_helps():
 def test_suffix_arrays_and_prefixes():
     rng = random.Random(1)
     for _ in range(150):
-        k = rng.choice([1, 2, 3, 30])
+        k = rng.choice([1, 2, 3, 30, 1000])
         text = [rng.randint(1, k) for _ in range(rng.randint(1, 70))] + [0]
         order = suffix_array.suffix_array(np.array(text), k + 1)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        assert suffix_array.doubled(np.array(text)).tolist() == order.tolist()
         prefix = suffix_array.permuted_lcp(np.array(text), order)
         for a, b in zip(order[1:].tolist(), order[:-1].tolist()):
             n = 0
