@@ -185,7 +185,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{scratch.root}/archives")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{scratch.root}/archives", compression="gzip")
     return read_archives(spark, f"{scratch.root}/archives").select(
         F.expr("try_cast(page_id as bigint)").alias("page_id"),
         "payload_bytes",
