@@ -12,8 +12,9 @@ inside payloads), parse its header and emit the candidate's offset with that
 of its successor. Pointer jumping from the file's start, doubling the jump
 each turn, keeps the candidates that the chain reaches; record starts that a
 payload merely quotes are never reached. Only offsets and header fields are
-grouped by file. An archive is read as one binary value, so archives should
-stay below ``ARCHIVE_BYTES``; the writer rolls files by record count.
+grouped by file. An archive is read as one binary value. The writer rolls
+files so that none holds more than ``FILE_BYTES`` before compression, unless a
+single record does; archives longer than ``ARCHIVE_BYTES`` raise an error.
 
 Edge cases: null html is an empty payload; a null url is an empty target;
 line breaks in urls become spaces; repeated page rows each get a record;
@@ -34,7 +35,10 @@ from tallywright.llm.common import Scratch
 
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 500_000_000
 ARCHIVE_BYTES = 1_000_000_000
+#: More than the header lines of a record take without the url.
+HEADER_BYTES = 1000
 DATE = "2025-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,10 +89,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES, co
     # the writer ends each value with the last CRLF of the record
     body = records(pages, least).select(F.expr("substring(record, 1, length(record) - 2)").alias("value"))
     body.write.mode("overwrite").option("lineSep", "\r\n").option("compression", compression).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
+        "maxRecordsPerFile", records_per_file(pages)
     ).text(folder)
 
 
+def records_per_file(pages: DataFrame) -> int:
+    """So many that even the longest record stays within FILE_BYTES as often."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + HEADER_BYTES
+    longest = pages.agg(F.max(size)).first()[0] or 1
+    return max(1, min(RECORDS_PER_FILE, FILE_BYTES // longest))
+
+
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
 _CANDIDATE = pa.schema(
@@ -178,7 +189,10 @@ def _chain(table: pa.Table) -> pa.Table:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Verified records of all archives in a folder, with offsets and payload digests."""
     schema = "path string, offset long, successor long, page_id string, record_type string, target string, refers_to string, payload_bytes long, payload_digest string"
-    files = spark.read.format("binaryFile").load(folder).where(F.col("length").between(1, ARCHIVE_BYTES))
+    files = spark.read.format("binaryFile").load(folder).where("length > 0")
+    longer = [r[0] for r in files.where(F.col("length") > ARCHIVE_BYTES).select("path").take(3)]
+    if longer:
+        raise ValueError(f"archives longer than {ARCHIVE_BYTES} bytes cannot be read: {', '.join(longer)}")
     found = files.select("path", "content").mapInArrow(_scan, schema)
     return found.groupBy("path").applyInArrow(_chain, schema)
 

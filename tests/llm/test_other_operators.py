@@ -105,6 +105,17 @@ def test_archives_round_trip(spark, tmp_path, compression):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", str(first)) if again else ("response", ""))
 
 
+def test_archives_roll_by_bytes_and_long_ones_raise(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 2000) for i in range(40)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "a"))
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == 40
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000)
+    with pytest.raises(ValueError, match="longer"):
+        warc.read_archives(spark, str(tmp_path / "a"))
+
+
 def test_pointer_jumping():
     offsets, successors = np.array([30, 0, 10, 12, 20, 5]), np.array([40, 10, 20, 20, 30, 10])
     assert warc.reachable(offsets, successors).tolist() == [True, True, True, False, True, False]
