@@ -4,9 +4,10 @@ Texts are lowered; runs of anything but letters become one space. Each
 language has a model of order ``ORDER``: absolute discounting, continuation
 counts below the highest order, interpolation down to a uniform floor. An
 n-gram is a 64-bit code of 16 bits a character (characters above the basic
-plane are folded), so suffix and context are shifts; the models of all
-languages share sorted code arrays and have a column each. A text gets the
-language of the lowest length-normalised cross-entropy.
+plane are folded), so suffix and context are shifts. Every lang value has a
+model; those of ``BLOCK`` languages share sorted code arrays and have a column
+each, and a text is scored block by block. It gets the language of the lowest
+length-normalised cross-entropy.
 
 The models are fitted on a sample of labelled rows of at most about
 ``PER_LANGUAGE`` documents for each language, chosen by the hash of doc_id;
@@ -32,7 +33,7 @@ from tallywright.llm.common import portions, utf8
 
 ORDER = 4
 PER_LANGUAGE = 2000
-LANGUAGES = 64
+BLOCK = 8
 REJECT = 0.999
 DISCOUNT = 0.75
 _MASK = np.uint64(0xFFFF)
@@ -89,15 +90,18 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return code[(code & _MASK) != 0], count
 
 
+def floor_of(codes: np.ndarray) -> float:
+    return 1.0 / (len(np.unique(codes & _MASK)) + 1)
+
+
 class Models:
     """Kneser-Ney models of several languages over shared sorted codes."""
 
-    def __init__(self, languages: list[str], codes: np.ndarray, counts: np.ndarray, owner: np.ndarray):
+    def __init__(self, languages: list[str], codes: np.ndarray, counts: np.ndarray, owner: np.ndarray, floor: float | None = None):
         self.languages, n = languages, len(languages)
         self.codes, self.value, self.contexts, self.backoff = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
         level: dict[int, list] = {o: [] for o in range(1, ORDER + 1)}
-        vocabulary = len(np.unique(codes & _MASK)) + 1
-        self.floor = 1.0 / vocabulary
+        self.floor = floor or floor_of(codes)
         for k in range(n):
             code, count = codes[owner == k], counts[owner == k].astype(np.float64)
             for order in range(ORDER, 0, -1):
@@ -146,6 +150,20 @@ class Models:
         return out, count
 
 
+class Blocks:
+    """Models of any number of languages, BLOCK by BLOCK, over one floor so that entropies compare."""
+
+    def __init__(self, languages: list[str], codes: np.ndarray, counts: np.ndarray, owner: np.ndarray, block: int = BLOCK):
+        self.languages, self.parts, floor = languages, [], floor_of(codes)
+        for at in range(0, len(languages), block):
+            own = (owner >= at) & (owner < at + block)
+            self.parts.append(Models(languages[at : at + block], codes[own], counts[own], owner[own] - at, floor))
+
+    def entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        found = [m.entropies(texts) for m in self.parts]
+        return np.concatenate([bits for bits, _ in found], axis=1), found[0][1]
+
+
 def _find(table: np.ndarray, code: np.ndarray):
     at = np.minimum(np.searchsorted(table, code), len(table) - 1)
     return at, table[at] == code
@@ -213,13 +231,13 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE):
     """(models, temperature, bound) from ``labelled(doc_id, text, lang)``, or None where nothing is labelled."""
     spark = labelled.sparkSession
     usable = labelled.where("text is not null and lang is not null and doc_id is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return None, 1.0, 0.0
     languages = sorted(r[0] for r in sizes)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, per_language / r[1])))])
+    share = F.broadcast(spark.createDataFrame([(r[0], min(1.0, per_language / r[1])) for r in sizes], "lang string, share double"))
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = usable.where(turn < F.try_element_at(share, F.col("lang"))).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)).alias("fold"))
+    sample = usable.select("doc_id", "text", "lang").join(share, "lang").where(turn < F.col("share")).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)).alias("fold"))
     counted = sample.where("fold > 0").select("text", "lang").mapInArrow(_count_pass(languages), "owner int, code long, n long")
     table = counted.groupBy("owner", "code").agg(F.sum("n").alias("n")).toArrow()
     owner, code, n = (table.column(k).to_numpy() for k in range(3))
@@ -227,7 +245,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE):
         return None, 1.0, 0.0
     present = np.unique(owner)
     order = np.argsort(code.view(np.uint64), kind="stable")
-    models = Models([languages[k] for k in present], code.view(np.uint64)[order], n[order], np.searchsorted(present, owner)[order])
+    models = Blocks([languages[k] for k in present], code.view(np.uint64)[order], n[order], np.searchsorted(present, owner)[order])
     held = spark.sparkContext.broadcast(models)
     kept = sample.where("fold = 0").select("text", "lang").mapInArrow(_entropy_pass(held), "lang string, bits array<double>").collect()
     kept = [r for r in kept if r[0] in models.languages]

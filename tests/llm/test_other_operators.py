@@ -146,6 +146,26 @@ def test_languages_and_odd_texts(spark, documents):
     assert {r.lang_pred for r in langid.identify(documents(tests), nothing).collect()} == {"und"}
 
 
+def test_every_language_has_a_model(spark, documents):
+    rng = random.Random(3)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(70)}
+    # the languages that sort last are also the rarest
+    rows = [(k, " ".join(rng.choices(w, k=30)), lang) for lang, w in words.items() for k in range(20 if lang < "l064" else 12)]
+    labelled = spark.createDataFrame([(i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(documents([" ".join(w) for w in words.values()]), labelled).collect()}
+    assert [got[i] for i in range(70)] == list(words)
+
+
+def test_blocks_score_like_one_model():
+    texts = ["abracadabra abba", "river stone", "der schöne", "où les"]
+    code, count, owner = [], [], []
+    for k, t in enumerate(texts):
+        kinds, n = np.unique(langid.grams([t])[0], return_counts=True)
+        code, count, owner = [*code, kinds], [*count, n], [*owner, np.full(len(kinds), k)]
+    parts = [list("abcd"), *map(np.concatenate, (code, count, owner))]
+    assert np.allclose(langid.Blocks(*parts, block=3).entropies(texts)[0], langid.Models(*parts).entropies(texts)[0])
+
+
 def test_probabilities_sum_to_one():
     code, n = langid.grams(["abracadabra abba", "cad"])
     kinds, count = np.unique(code, return_counts=True)
