@@ -184,6 +184,25 @@ def repeated_vendors(df: DataFrame, key: str = "details") -> DataFrame:
     )
 
 
+def vendor_transactions(df: DataFrame, found: DataFrame, key: str = "details", order: str = "ord") -> DataFrame:
+    """Rows of the vendors of ``found``, the recurring or the repeated ones: key, date, amount, and day and order to sort by.
+
+    A frame beside the aggregates: no list of a vendor's rows is gathered.
+    """
+    vendors = found.select(F.col(key).alias("vendor"))
+    day = dates.parse_date(dates.add_year(F.col("date"), F.col("statement_year")))
+    amount = F.coalesce(rounded(F.col("amount")), F.lit(0.0)).alias("amount")
+    listed = with_amount(df).select(key, "date", amount, day.alias("day"), order)
+    return listed.join(vendors, F.col(key).eqNullSafe(F.col("vendor")), "left_semi")
+
+
+def expense_transactions(df: DataFrame) -> DataFrame:
+    """Transactions behind both vendor findings, for the file sink: section, details, date, amount, day, ord."""
+    parts = {"recurring_charges": recurring_charges(df), "repeated_vendors": repeated_vendors(df)}
+    first, second = (vendor_transactions(df, found).select(F.lit(n).alias("section"), "*") for n, found in parts.items())
+    return first.unionByName(second)
+
+
 def similar_descriptions(df: DataFrame) -> DataFrame:
     name = F.lower(text.strip(F.col("details")))
     return df.groupBy(name.alias("description")).agg(F.count("*").alias("n"))

@@ -101,7 +101,11 @@ def write_group(df: DataFrame, duplicates: DataFrame, suffix: str, folder: str,
             write_json(reports.monthly_summary(lower).orderBy("month"), paths["monthly"])
         if expenses:
             paths["expenses"] = f"{folder}/expense_analysis_{suffix}.json"
-            write_json(reports.expense_report(lower.withColumn("ord", F.monotonically_increasing_id())), paths["expenses"])
+            placed = lower.withColumn("ord", F.monotonically_increasing_id())
+            write_json(reports.expense_report(placed), paths["expenses"])
+            paths["expense_transactions"] = f"{folder}/expense_transactions_{suffix}.json"
+            listed = reports.expense_transactions(placed).orderBy("section", "details", "day", "ord")
+            write_json(listed.select("section", "details", "date", "amount"), paths["expense_transactions"])
     return paths
 
 

@@ -221,3 +221,15 @@ def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "amount double")
     for cells in (4096, 2):
         assert reports.exact_median(df, "amount", cells).first()[0] == (statistics.median(values) if values else None)
+
+
+def test_transactions_of_vendors_are_written(spark, tmp_path):
+    import json
+
+    rows = [("01/03/2024", "Gym", "30.00"), ("01/01/2024", "Gym", "30.00"), ("31/01/2024", "Gym", "30.00"), ("05/01/2024", "Shop", "9.50"), ("02/01/2024", "Shop", None), ("03/01/2024", "Once", "1.00")]
+    df = spark.createDataFrame([(d, n, a, None, "2024") for d, n, a in rows], "date string, details string, debit string, credit string, statement_year string").coalesce(1)
+    paths = sink.write_group(df, df.limit(0), "0001", str(tmp_path), formats=("json",), monthly=False)
+    got = [(r["section"], r["details"], r["date"], r["amount"]) for r in json.load(open(paths["expense_transactions"], encoding="utf-8"))]
+    gym = [("Gym", d, 30.0) for d in ("01/01/2024", "31/01/2024", "01/03/2024")]
+    shop = [("Shop", "02/01/2024", 0.0), ("Shop", "05/01/2024", 9.5)]
+    assert got == [("recurring_charges", *r) for r in gym] + [("repeated_vendors", *r) for r in gym + shop]
