@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import Shared
+
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 MAX_RANKS = 1_000_000
 #: Distinct words that a worker remembers before it starts afresh.
@@ -135,7 +137,7 @@ def encode(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded, decoded_sha256); without ``with_ids`` only the digests are filled."""
     ranks = load_ranks(ranks_path or public_tokenizers.path(RANKS_FILE))
-    held = documents.sparkSession.sparkContext.broadcast(ranks)
+    held = Shared(documents.sparkSession, ranks)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
         _encode_pass(held, pattern or public_tokenizers.PATTERN, with_ids),

@@ -4,25 +4,30 @@ helpers and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder of
-    this machine is used and set as the checkpoint folder.
+    Only where a local session names none (tests) a temporary folder of this
+    machine is used and set as the checkpoint folder; on a cluster, whose
+    executors would not see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywright-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -54,6 +59,31 @@ class Scratch:
             pass
 
 
+class Shared:
+    """A value for tasks, broadcast as bytes that carry its classes: workers need not have this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._held.value)
+
+
+def hashed_share(column, size: int, total: int, seed: int = 0) -> Column:
+    """True for about ``size`` of ``total`` rows, by a hash: no task sends more than its part of them."""
+    turn = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return turn < min(1.0, size / max(1, total))
+
+
+def own_name(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column) -> list:
     """Values of an Arrow string column as bytes objects; null stays None."""
     if isinstance(column, pa.ChunkedArray):

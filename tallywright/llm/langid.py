@@ -18,8 +18,10 @@ cross-entropy); ``rejected`` marks texts beyond it.
 
 Edge cases: a null text, one without letters, or no labelled row at all gives
 ``und`` with score 0; ties go to the language that sorts first; rows with a
-null doc_id are predicted but never learned from; repeated rows each get a
-row; other columns are never inputs.
+null doc_id are predicted but never learned from; U+0000 inside a text is no
+letter; repeated rows each get a row; other columns are never inputs; very
+long texts are scored whole, in portions of the batch; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import portions, utf8
+from tallywright.llm.common import Shared, portions, utf8
 
 ORDER = 4
 PER_LANGUAGE = 2000
@@ -52,7 +54,8 @@ def _tables():
 def letters(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all texts, each led by ORDER - 1 zeros, and how many each has (0: no letters)."""
     low, letter = _tables()
-    points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # U+0000 parts texts; one inside a text is no letter, like a space
+    points = np.frombuffer("\0".join([t.replace("\0", " ") for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     plane = np.where(points < 65536, points, ((points ^ (points >> 7)) & 0x7FFF) | 0x8000).astype(np.uint32)
     value = np.where(points < 65536, low[plane], plane)
     is_letter = letter[plane]
@@ -175,10 +178,13 @@ def _count_pass(languages: list[str]):
     def run(batches):
         for batch in batches:
             owner = np.array([place[x] for x in batch.column(1).to_pylist()], dtype=np.int32)
-            texts = batch.column(0).to_pylist()
+            texts = [t.decode("utf-8", "replace") if t else "" for t in utf8(batch.column(0))]
             for k in np.unique(owner):
-                code, _ = grams([t for t, o in zip(texts, owner) if o == k])
-                kinds, n = np.unique(code, return_counts=True)
+                own = [t for t, o in zip(texts, owner) if o == k]
+                # portions bound the memory; each adds its counts
+                counted = [np.unique(grams(own[lo:hi])[0], return_counts=True) for lo, hi in portions(own)]
+                kinds, back = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([c for _, c in counted]), minlength=len(kinds))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(kinds), k, dtype=np.int32)), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))],
                     ["owner", "code", "n"],
@@ -218,11 +224,12 @@ def _entropy_pass(held):
         models = held.value
         for batch in batches:
             texts = [t.decode("utf-8", "replace") if t else "" for t in utf8(batch.column(0))]
-            bits, count = models.entropies(texts)
-            keep = count > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).filter(pa.array(keep)), pa.array(list(bits[keep]), pa.list_(pa.float64()))], ["lang", "bits"]
-            )
+            for lo, hi in portions(texts, 1_000_000):
+                bits, count = models.entropies(texts[lo:hi])
+                keep = count > 0
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(lo, hi - lo).filter(pa.array(keep)), pa.array(list(bits[keep]), pa.list_(pa.float64()))], ["lang", "bits"]
+                )
 
     return run
 
@@ -246,7 +253,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE):
     present = np.unique(owner)
     order = np.argsort(code.view(np.uint64), kind="stable")
     models = Blocks([languages[k] for k in present], code.view(np.uint64)[order], n[order], np.searchsorted(present, owner)[order])
-    held = spark.sparkContext.broadcast(models)
+    held = Shared(spark, models)
     kept = sample.where("fold = 0").select("text", "lang").mapInArrow(_entropy_pass(held), "lang string, bits array<double>").collect()
     kept = [r for r in kept if r[0] in models.languages]
     if not kept:
@@ -266,7 +273,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE):
 def identify(documents: DataFrame, labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, lang_pred, score, bits, rejected) for every document."""
     models, temperature, bound = train(labelled, per_language)
-    held = documents.sparkSession.sparkContext.broadcast(models)
+    held = Shared(documents.sparkSession, models)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
         _score_pass(held, temperature, bound), f"doc_id {kind}, lang_pred string, score double, bits double, rejected boolean"
