@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import utf8
+from tallywright.llm.common import Shared, utf8
 
 LABELLED = 12_000
 POOL = 4000
@@ -299,7 +299,7 @@ def _score_pass(held):
 def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """(doc_id, p_content, p_meta, score, kept) for every document."""
     model = train(documents, labels, labelled, pool)
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = Shared(documents.sparkSession, model)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(
         _score_pass(held), f"doc_id {kind}, p_content double, p_meta double, score double, kept boolean"
@@ -320,8 +320,9 @@ def _filter_pass(held, columns: list[str]):
 
 def keep_good(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """The documents that the classifier keeps, with all their columns, in one narrow pass."""
-    held = documents.sparkSession.sparkContext.broadcast(train(documents, labels, labelled, pool))
-    return documents.mapInArrow(_filter_pass(held, documents.columns), documents.schema)
+    held = Shared(documents.sparkSession, train(documents, labels, labelled, pool))
+    plain = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    return plain.mapInArrow(_filter_pass(held, documents.columns), plain.schema).toDF(*documents.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

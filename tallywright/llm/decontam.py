@@ -16,9 +16,11 @@ over the documents, so nothing that grows is broadcast and no row of
 ``documents`` is ever shuffled.
 
 Edge cases: a null or empty text has no words and is never hit; a null, empty
-or wordless item has no window; repeated document rows each get a row;
-repeated items count once per ``item_id``; empty tables give an empty result
-or unhit rows; other columns of either table are ignored.
+or wordless item has no window; windows of items whose item_id is null mark
+words but are no item, so they count in n_hit and not among the items;
+repeated document rows each get a row; repeated items count once per
+``item_id``; empty tables give an empty result or unhit rows; other columns of
+either table are ignored; ``clean_documents`` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallywright.llm.common import portions, utf8
+from tallywright.llm.common import Shared, portions, utf8
 
 SHINGLE = 5
 WINDOW = 10
@@ -56,7 +59,9 @@ class WindowIndex:
         for item, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text))
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[ids[at : at + window]].add(str(item))
+                named = owners[ids[at : at + window]]
+                if item is not None:
+                    named.add(str(item))
         self.windows = list(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
         self.shingle = shingle
@@ -181,41 +186,35 @@ def _match_pass(index_of, text_at: int, schema_names: list[str]):
     return run
 
 
-def decontaminate(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    shingle: int = SHINGLE,
-    block_bytes: int = BLOCK_BYTES,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans): spans are the word ranges of found windows.
-
-    Columns of ``documents`` named in ``carry`` come along.
-    """
+def _matched(documents: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> DataFrame:
+    """The columns of documents under the names c0, c1 and so on, which clash with nothing, with n_words, spans and items."""
     spark: SparkSession = documents.sparkSession
     items = benchmark.where("text is not null").select("item_id", "text")
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-volume // block_bytes))
-    own = ["doc_id", "text", *(c for c in carry if c not in ("doc_id", "text"))]
-    found = documents.select(own)
-    names = [*own, "n_words", "spans", "items"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    at = documents.columns.index("text")
+    found = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    added = {"n_words": "bigint", "spans": "array<struct<lo:bigint,hi:bigint>>", "items": "array<string>"}
+    names = [*found.columns, *added]
+    schema = T.StructType(list(found.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         index = WindowIndex([(r[0], r[1].encode()) for r in part.toLocalIterator()], window, shingle)
-        held = spark.sparkContext.broadcast(index)
-        counted = documents.where("text is not null").select("text").mapInArrow(_count_pass(lambda h=held: h.value), "ref long, n long")
-        counts = {r[0]: r[1] for r in counted.groupBy("ref").agg(F.sum("n")).toLocalIterator()}
+        held = Shared(spark, index)
+        occurred = documents.where("text is not null").select("text").mapInArrow(_count_pass(lambda h=held: h.value), "ref long, n long")
+        counts = {r[0]: r[1] for r in occurred.groupBy("ref").agg(F.sum("n")).toLocalIterator()}
         index.choose(counts)
-        chosen = spark.sparkContext.broadcast(index)
-        found = found.mapInArrow(
-            _match_pass(lambda h=chosen: h.value, 1, names),
-            f"{kinds}, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>",
-        )
-    # Spans are sorted by start: a word counts once, where its reach goes beyond all spans before.
-    covered = F.aggregate(
-        F.array_sort("spans"),
+        chosen = Shared(spark, index)
+        found = found.mapInArrow(_match_pass(lambda h=chosen: h.value, at, names), schema)
+    return found
+
+
+def n_hit_of(spans) -> Column:
+    """Words inside any span. Spans are sorted by start: a word counts once, where its reach goes beyond all spans before."""
+    return F.aggregate(
+        F.array_sort(spans),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(s["hi"] - F.greatest(s["lo"], acc["end"]), F.lit(0).cast("long"))).alias("n"),
@@ -223,7 +222,18 @@ def decontaminate(
         ),
         lambda acc: acc["n"],
     )
-    return found.select("doc_id", *(c for c in carry if c != "doc_id"), "n_words", covered.alias("n_hit"), F.array_sort("items").alias("items"), "spans")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans): spans are the word ranges of found windows."""
+    found = _matched(documents.select("doc_id", "text"), benchmark, window, shingle, block_bytes)
+    return found.select(F.col("c0").alias("doc_id"), "n_words", n_hit_of("spans").alias("n_hit"), F.array_sort("items").alias("items"), "spans")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no window, with all their columns, whatever these are called."""
+    found = _matched(documents, benchmark, window, shingle, block_bytes)
+    return found.where(F.size("spans") == 0).drop("n_words", "spans", "items").toDF(*documents.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
