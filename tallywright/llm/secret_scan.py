@@ -6,17 +6,20 @@ which spans they found. A run scans only blobs with a rule version that the
 ledger lacks, each blob once however many paths hold it, and joins findings
 back to all paths. Raising a rule's version makes exactly that rule run again.
 
-One path stands for each unseen blob; its text is met by a join on the path,
-so a blob that a third of all paths share brings no skew, and no text is
-grouped. Findings exist for few blobs; the join from paths to findings holds
+One path stands for each unseen blob; its text is met by a join on path and
+blob, so neither a blob that a third of all paths share nor a path of many
+versions meets more than its own rows, and no text is grouped. Findings exist for few blobs; the join from paths to findings holds
 rows without text, whose skew adaptive execution splits.
 
 Positions are code points, end exclusive. A match is found by splitting the
-text at matches: the lengths of pieces and matches add up to positions.
-
-Edge cases: a null text is empty, and is one blob with empty texts; repeated
-rows of a path each get a row; empty tables and ledgers work; other columns
-are ignored.
+text at matches: the lengths of pieces and matches add up to positions, in
+blocks of matches, so that a text of very many matches is not folded in
+quadratic time.
+
+Edge cases: a null text is empty, and is one blob with empty texts; null paths
+are scanned like others; a path may have several versions; repeated rows of a
+path each get a row; empty tables and ledgers work; other columns are ignored,
+and ``mask`` carries them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch
+from tallywright.llm.common import Scratch, own_name
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,15 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
-LEDGER = "blob binary, rules array<string>, spans array<struct<start:int,place:int,kind:string,end:int,rule:string>>"
+SPANS = "array<struct<start:int,place:int,kind:string,end:int,rule:string>>"
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
+#: Matches folded at a time.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
@@ -76,10 +87,27 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
             F.when(F.length(value) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
         )
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,rule:string>>")
+    none = F.array().cast(SPANS)
     start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+
+    def block(pairs: Column) -> Column:
+        """Each block's length and spans, counted from its start."""
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")),
+            lambda k: F.aggregate(F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)), start, step),
+        )
+
+    def follow(acc: Column, b: Column) -> Column:
+        moved = F.transform(
+            b["spans"],
+            lambda s: s.withField("start", s["start"] + acc["at"]).withField("end", s["end"] + acc["at"]),
+        )
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["parts"], F.array(moved)).alias("parts"))
+
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+    found = F.aggregate(_let(pairs, block), whole, follow, lambda acc: F.flatten(acc["parts"]))
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id"):
@@ -103,18 +131,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         )
     unseen = unseen.where(F.size("todo") > 0).select(path, "blob", "todo")
     # a path may have several versions: its text must be the blob's
-    texts = versions.select(path, content.alias("text"))
-    several = F.unhex(F.sha2("text", 256)) == F.col("blob")
-    found = [
-        F.when(F.array_contains("todo", r.key), rule_spans(F.col("text"), r, k)).otherwise(
-            F.array().cast("array<struct<start:int,place:int,kind:string,end:int,rule:string>>")
-        )
-        for k, r in enumerate(rules)
-    ]
-    scanned = (
-        texts.join(unseen.withColumnRenamed(path, "_chosen"), F.col(path).eqNullSafe(F.col("_chosen")))
-        .where(several)
-        .select("blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*found)).alias("spans"))
+    texts = versions.select(F.col(path).alias("_path"), content.alias("_text"), F.unhex(F.sha2(content, 256)).alias("_blob"))
+    found = [F.when(F.array_contains("todo", r.key), rule_spans(F.col("_text"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)]
+    scanned = texts.join(unseen, F.col("_path").eqNullSafe(F.col(path)) & (F.col("_blob") == F.col("blob"))).select(
+        "blob", F.col("todo").alias("rules"), F.array_sort(F.concat(*found)).alias("spans")
     )
     fresh = scratch.keep(scanned.dropDuplicates(["blob"]), "ledger")
     whole = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rules", "spans"))
@@ -126,7 +146,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
     findings = paths.join(counted, "blob", "left").select(
-        path, "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,place:int,kind:string,end:int,rule:string>>")).alias("spans")
+        path, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
     )
     return findings, fresh
 
@@ -151,6 +171,20 @@ def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
+def mask(documents: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The documents with every span of a scan's ledger rows masked in the text and n_chars counted anew.
+
+    Texts meet the ledger by content, so null and repeated ids lose nothing.
+    """
+    key, blob, spans = (own_name(n, documents) for n in ("key", "blob", "spans"))
+    known = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    keyed = documents.withColumn(key, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    met = keyed.join(known, F.col(key) == F.col(blob), "left")
+    text = F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    size = F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return met.withColumn("text", text).withColumn("n_chars", size).select([F.col(f"`{c}`") for c in documents.columns])
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     listed = F.array_join(
