@@ -225,7 +225,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
     labelled = distinct.join(parts, distinct["rep"] == parts["node"], "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return prints.join(labelled, "fp", "left").select("doc_id", "fp", component)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
