@@ -2,11 +2,14 @@
 
 Each adapter is a list of SQL expressions that Spark and DuckDB read alike, so
 a query and its oracle start from the same rows. All rows of a table are used.
+Spark makes an adapter's cells once a row: they pass a generator, through which
+the optimiser doesn't copy them into each filter and column that uses them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', (month(o_orderdate) - 1) * 3 + 1, 3)"
 _MONTH = (
@@ -30,7 +33,8 @@ _WORD = (
     " WHEN 3 THEN 'INTEREST PAID' WHEN 4 THEN 'MAINTENANCE FEE' WHEN 5 THEN 'REFUND' WHEN 6 THEN 'STANDING ORDER'"
     " WHEN 7 THEN 'Card payment' ELSE 'Misc' END"
 )
-_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+#: One order in 499 is far above the others.
+_CENTS = "CAST(round(o_totalprice * CASE WHEN o_orderkey % 499 = 0 THEN 4000 ELSE 100 END) AS BIGINT)"
 _WHOLE = f"CAST(floor({_CENTS} / 100) AS BIGINT)"
 _REST = f"lpad(CAST({_CENTS} % 100 AS STRING), 2, '0')"
 _PLAIN = f"concat(CAST({_WHOLE} AS STRING), '.', {_REST})"
@@ -60,7 +64,8 @@ LEDGER = {
     "credit": f"CASE WHEN {_BLANK} OR {_BALANCE_ONLY} THEN '' WHEN {_HEADER} THEN 'Credit' WHEN o_orderkey % 3 = 1 AND o_orderkey % 11 <> 0 THEN {_AMOUNT} ELSE '' END",
     "balance": f"CASE WHEN {_BLANK} OR o_orderkey % 7 = 0 THEN '' WHEN {_HEADER} THEN 'Balance' ELSE CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) END",
 }
-LEDGER_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in LEDGER.items()) + " FROM orders JOIN customer ON o_custkey = c_custkey"
+_BASE = "FROM orders JOIN customer ON o_custkey = c_custkey"
+LEDGER_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in LEDGER.items()) + " " + _BASE
 
 #: Every row once more from a second file. One in three carries the same cells; others differ in their date or amount.
 _COPY = {n: n for n in LEDGER} | {
@@ -81,9 +86,23 @@ FILES = {
         f" WHEN 2 THEN concat('GB29 NWBK ', substr({_DIGITS}, 7, 14)) WHEN 3 THEN concat('FR14', substr({_DIGITS}, 3, 12)) ELSE NULL END"
     ),
     "card": f"CASE WHEN file_ord % 3 = 1 THEN concat('**** **** **** ', substr({_DIGITS}, 17, 4)) ELSE NULL END",
+    "pages": "CAST(file_ord % 4 + 1 AS BIGINT)",
 }
 FILES_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in FILES.items()) + f" FROM (SELECT DISTINCT file_ord, filename, document_type FROM ({LEDGER_SQL}) l) f"
 
+#: Charges of 30 vendors, one of which has no name: half of them monthly, some of these of too different amounts.
+_SEQ = "CAST(floor(o_orderkey / 30) AS INT)"
+_DAY = f"DATE '2010-01-03' + CAST({_SEQ} * CASE WHEN o_orderkey % 30 < 15 THEN 30 ELSE 45 END + o_orderkey % 3 AS INT)"
+CHARGES = {
+    "ord": "o_orderkey",
+    "details": "CASE o_orderkey % 30 WHEN 7 THEN '' ELSE concat('vendor ', CAST(o_orderkey % 30 AS STRING)) END",
+    "day": _DAY,
+    "statement_year": "CAST(NULL AS STRING)",
+    "debit": f"concat(CAST(20 + o_orderkey % 30 + CASE WHEN o_orderkey % 30 % 5 = 4 THEN {_SEQ} % 7 ELSE 0 END AS STRING), '.', lpad(CAST({_SEQ} % 37 AS STRING), 2, '0'))",
+    "credit": "''",
+}
+CHARGES_SQL = "SELECT *, concat(lpad(CAST(day(day) AS STRING), 2, '0'), '/', lpad(CAST(month(day) AS STRING), 2, '0'), '/', CAST(year(day) AS STRING)) AS date FROM (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CHARGES.items()) + " FROM orders) c"
+
 #: Words of statement pages from line items: a page holds the lines of some orders, a line has up to five cells.
 _LINE = "CAST(floor(l_orderkey / 8) AS BIGINT)"
 _WORD_BASE = {
@@ -99,14 +118,26 @@ _CELLS = (
     (5, 320, "CASE WHEN l_linenumber % 4 IN (1, 2) AND l_returnflag = 'R' THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) ELSE '' END"),
     (6, 380, "CASE WHEN l_linenumber % 4 = 1 THEN CAST(CAST(l_quantity * 10 AS DECIMAL(18,2)) AS STRING) ELSE '' END"),
 )
+_SEQ_OF, _RIGHT, _BELOW = "(l_orderkey * 8 + l_linenumber) * 10 + {k}", "{x} + l_tax * 100", f"{_WORD_BASE['top']} + 8"
 WORDS_SQL = " UNION ALL ".join(
     "SELECT "
     + ", ".join(f"{e} AS {n}" for n, e in _WORD_BASE.items())
-    + f", (l_orderkey * 8 + l_linenumber) * 10 + {k} AS word_seq, {text} AS text, {x} + l_tax * 100 AS x0, {x} + l_tax * 100 + 30 AS x1,"
-    + " 300 + ((l_orderkey % 8) * 7 + l_linenumber) * 9 + l_discount * 4 + 8 AS bottom"
+    + f", {_SEQ_OF.format(k=k)} AS word_seq, {text} AS text, {_RIGHT.format(x=x)} AS x0, {_RIGHT.format(x=x)} + 30 AS x1, {_BELOW} AS bottom"
     + f" FROM lineitem WHERE {text} <> ''"
     for k, x, text in _CELLS
 )
+#: A heading over every page's lines, a closing line on some pages, and lines between of too few words to count.
+_HEADING = ((0, 30, "Date"), (1, 80, "Details"), (2, 260, "Debit"), (3, 320, "Credit"), (4, 380, "Balance"))
+_CLOSING = ((5, 30, "Thank"), (6, 70, "you"))
+HEADED_SQL = (
+    f"SELECT * FROM ({WORDS_SQL}) w"
+    + "".join(
+        f" UNION ALL SELECT file, page_no, {place} AS top, s {sign} {1 + k} AS word_seq, '{text}' AS text, CAST({x} AS DOUBLE) AS x0, CAST({x + 35} AS DOUBLE) AS x1, {place} + 8 AS bottom FROM edges{test}"
+        for words, place, sign, test in ((_HEADING, "lo - 12", "- 9 +", ""), (_CLOSING, "hi + 40", "+ 9 +", " WHERE page_no % 3 = 0"))
+        for k, x, text in words
+    )
+)
+
 
 #: First pages of documents: web pages with statement phrases before them.
 _PHRASE = (
@@ -123,28 +154,71 @@ PAGES = {
 PAGES_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in PAGES.items()) + " FROM pages"
 
 
-def _select(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
+def _tables(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
     for name in tables:  # names of this module's own, so that no user's view is hidden
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"tallywright_{name}")
         sql = sql.replace(f"FROM {name}", f"FROM tallywright_{name}").replace(f"JOIN {name}", f"JOIN tallywright_{name}")
     return spark.sql(sql)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, their cells made once."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, LEDGER_SQL, ("orders", "customer"))
+    return _once(_tables(spark, sf_dir, LEDGER_SQL, ("orders", "customer")))
 
 
 def duplicated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, DUPLICATED_SQL, ("orders", "customer"))
+    """Each row and its copy come from one scan."""
+    both = F.array(F.struct(*[F.expr(n).alias(n) for n in _COPY]), F.struct(*[F.expr(e).alias(n) for n, e in _COPY.items()]))
+    rows = ledger(spark, sf_dir).withColumn("ord", F.col("ord").cast("long"))
+    return rows.select(F.inline(both))
 
 
 def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, FILES_SQL, ("orders", "customer"))
+    return _tables(spark, sf_dir, FILES_SQL, ("orders", "customer"))
+
+
+def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(_tables(spark, sf_dir, CHARGES_SQL, ("orders",)))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, WORDS_SQL, ("lineitem",))
+    """One scan of the line items gives all cells of a line."""
+    line = _tables(spark, sf_dir, "SELECT * FROM lineitem", ("lineitem",))
+    base = {n: F.expr(e).alias(n) for n, e in _WORD_BASE.items()}
+    cells = [
+        F.struct(
+            F.expr(_SEQ_OF.format(k=k)).alias("word_seq"),
+            F.expr(text).alias("text"),
+            F.expr(_RIGHT.format(x=x)).alias("x0"),
+            F.expr(f"{_RIGHT.format(x=x)} + 30").alias("x1"),
+            F.expr(_BELOW).alias("bottom"),
+        )
+        for k, x, text in _CELLS
+    ]
+    return line.select(*base.values(), F.inline(F.array(*cells))).where("text <> ''")
+
+
+def headed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with headings and closing lines around them."""
+    body = words(spark, sf_dir)
+    edges = body.groupBy("file", "page_no").agg(F.min("word_seq").alias("s"), F.min("top").alias("lo"), F.max("top").alias("hi"))
+    parts = []
+    for listed, place, sign in ((_HEADING, "lo - 12", -9), (_CLOSING, "hi + 40", 9)):
+        for k, x, name in listed:
+            parts.append(
+                F.struct(
+                    F.expr(place).alias("top"), (F.col("s") + sign + 1 + k).alias("word_seq"), F.lit(name).alias("text"),
+                    F.lit(float(x)).alias("x0"), F.lit(float(x + 35)).alias("x1"), F.expr(f"{place} + 8").alias("bottom"),
+                )
+            )
+    head = len(_HEADING)
+    chosen = F.when(F.col("page_no") % 3 == 0, F.array(*parts)).otherwise(F.array(*parts[:head]))
+    return body.unionByName(edges.select("file", "page_no", F.inline(chosen)))
 
 
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, PAGES_SQL, ("pages",))
+    return _once(_tables(spark, sf_dir, PAGES_SQL, ("pages",)))
