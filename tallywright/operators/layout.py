@@ -30,6 +30,8 @@ STRONG_ENDS = [
     "STATEMENT CONTINUES",
     "CONTINUED ON NEXT PAGE",
 ]
+# Signs of a date in a date column.
+DATE_MARKS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "/"]
 # Words of table headers and footers.
 HEADER_WORDS = ["date", "details", "description", "debit", "credit", "amount", "transaction", "reference", "particulars"]
 NOT_HEADER = ["forward", "interest", "lending", "@"]
@@ -107,11 +109,17 @@ def crop(words: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFr
     return words.where((F.col("bottom") > y0) & (F.col("top") < y1) & (F.col("x1") > x0) & (F.col("x0") < x1))
 
 
+def cells_and_line(words: DataFrame, columns: Mapping[str, tuple], strict_rightmost: bool = True) -> DataFrame:
+    """Cells of a line and its whole text, from one aggregate."""
+    placed = words.withColumn("_column", column_of(columns, strict_rightmost))
+    cells = [ordered_text(F.col("_column") == n).alias(n.lower()) for n in columns]
+    return placed.groupBy(*PAGE, F.rint("top").alias("y_key")).agg(*cells, ordered_text().alias("line"))
+
+
 def typed_lines(words: DataFrame, columns: Mapping[str, tuple] = schema.DEFAULT_COLUMNS, top: float = TABLE_TOP) -> DataFrame:
     """Lines below the table's top with cells, type and share of filled cells."""
     names = [n.lower() for n in columns]
-    lines = words.where(F.col("top") >= top)
-    placed = words_to_columns(lines, columns, strict_rightmost=False).join(lines_by_y(lines).select(*PAGE, "y_key", "line"), [*PAGE, "y_key"])
+    placed = cells_and_line(words.where(F.col("top") >= top), columns, strict_rightmost=False)
     filled = sum((F.when(~text.is_blank(F.col(n)), 1).otherwise(0) for n in names), F.lit(0))
     return placed.withColumns({"row_type": rows.row_type(), "filled": filled / len(names)})
 
@@ -199,20 +207,22 @@ def x_clusters(words: DataFrame, tolerance: float = 3.0, least: int = 2) -> Data
     numbered = words.withColumn("cut", cut).withColumn("cluster", F.sum("cut").over(by_x))
     return (
         numbered.groupBy(*PAGE, "cluster")
-        .agg(F.avg("x0").alias("center"), F.count("*").alias("size"), F.avg(F.col("x1") - F.col("x0")).alias("width"))
+        .agg(F.avg("x0").alias("center"), F.count("*").alias("size"))
         .where(F.col("size") >= least)
     )
 
 
 def cluster_boundaries(clusters: DataFrame) -> DataFrame:
-    """Column ranges: each ends midway to the next, the last one an average width on."""
-    across = Window.partitionBy(*PAGE).orderBy("center")
-    following = F.lead("center").over(across)
+    """Column ranges: each ends midway to the next, the last one the mean distance of centres on, or 100 if it is the only one."""
+    page = Window.partitionBy(*PAGE)
+    across = page.orderBy("center")
+    following, rank = F.lead("center").over(across), F.row_number().over(across)
+    distance = F.when(rank > 1, (F.col("center") - F.min("center").over(page)) / (rank - 1)).otherwise(100.0)
     return clusters.select(
         *PAGE,
-        F.concat(F.lit("Column"), F.row_number().over(across)).alias("name"),
+        F.concat(F.lit("Column"), rank).alias("name"),
         F.col("center").alias("x_min"),
-        F.coalesce((F.col("center") + following) / 2, F.col("center") + F.coalesce("width", F.lit(100.0))).alias("x_max"),
+        F.coalesce((F.col("center") + following) / 2, F.col("center") + distance).alias("x_max"),
     )
 
 
@@ -252,22 +262,31 @@ def is_table_header(line: Column, n_words: Column) -> Column:
     return (hits >= 3) & n_words.between(4, 10) & ~text.contains_any(line, NOT_HEADER)
 
 
-def text_tables(words: DataFrame) -> DataFrame:
-    """The table of a page by its header and footer lines; pages without a header have none."""
+def text_tables(words: DataFrame, least: float = 50) -> DataFrame:
+    """The table of a page from its header line to its footer, if it has a data row and is high enough.
+
+    Data rows have three words or more. A footer is the first line below the
+    header with a footer word, or of less than ten words far below the last
+    data row; it ends the table, so the rows before it are all data rows or
+    none of the table's.
+    """
     page = Window.partitionBy(*PAGE)
     down = page.orderBy("y")
     lines = text_rows(words).withColumn("header_y", F.min(F.when(is_table_header(F.col("line"), F.col("n_words")), F.col("y"))).over(page))
-    body = lines.where((F.col("header_y") > 0) & (F.col("y") > F.col("header_y")))
-    before = F.lag("y").over(down)
-    ends = text.contains_any(F.col("line"), FOOTER_WORDS) | ((F.col("y") - before > 100) & (F.col("n_words") < 10))
-    footed = body.withColumns({"footer_y": F.when(ends, F.col("y")), "step": F.col("y") - before})
-    first = footed.withColumn("footer_y", F.min("footer_y").over(page))
-    data = first.where(F.col("footer_y").isNull() | (F.col("y") < F.col("footer_y"))).where("n_words >= 3")
-    out = data.groupBy(*PAGE, "header_y", "footer_y").agg(
-        F.max("y").alias("last_y"), F.avg(F.when(F.col("step") < 50, F.col("step"))).alias("step"), F.min("x0").alias("x0"), F.max("x1").alias("x1")
+    body = lines.where((F.col("header_y") != 0) & (F.col("y") >= F.col("header_y")))
+    below = F.col("y") > F.col("header_y")
+    is_row = (F.col("n_words") >= 3) | ~below
+    last = F.last(F.when(is_row, F.col("y")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    ends = below & (text.contains_any(F.col("line"), FOOTER_WORDS) | ((F.col("y") - last > 100) & (F.col("n_words") < 10)))
+    footed = body.withColumns({"is_row": is_row, "ends": ends}).withColumn("footer_y", F.min(F.when(F.col("ends"), F.col("y"))).over(page))
+    kept = footed.where(F.col("is_row") & (F.col("footer_y").isNull() | (F.col("y") < F.col("footer_y")))).withColumn("step", F.col("y") - F.lag("y").over(down))
+    out = kept.groupBy(*PAGE, "header_y", "footer_y").agg(
+        F.count("*").alias("n"), F.max("y").alias("last_y"), F.avg(F.when(F.col("step") < 50, F.col("step"))).alias("step"), F.min("x0").alias("x0"), F.max("x1").alias("x1")
     )
-    bottom = F.coalesce(F.col("footer_y") - 10, F.col("last_y") + 1.5 * F.col("step"), F.col("last_y") + 20)
-    return out.select(*PAGE, "x0", F.col("header_y").alias("y0"), "x1", bottom.alias("y1"))
+    margin = F.when(F.col("n") >= 3, F.coalesce(F.col("step") * 1.5, F.lit(20.0))).otherwise(20.0)
+    bottom = F.coalesce(F.col("footer_y") - 10, F.col("last_y") + margin)
+    found = out.where("n >= 2").select(*PAGE, "x0", (F.col("header_y") - 5).alias("y0"), "x1", bottom.alias("y1"))
+    return keep_tall(found, least)
 
 
 def largest_table(tables: DataFrame) -> DataFrame:
@@ -340,11 +359,14 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     return scored.groupBy("file").agg(F.max_by(F.struct("iban", "score"), F.struct("score", -F.col("word_seq"))).alias("b")).select("file", "b.*")
 
 
-def multiline_dates(words: DataFrame, date_range: tuple = schema.DEFAULT_COLUMNS["Date"]) -> DataFrame:
-    """Whether less than 60 % of a page's lines (three or more) have a date."""
-    dated = F.max(F.when(F.col("x0").between(*date_range) & rows.looks_like_date(F.col("text")), 1).otherwise(0))
-    lines = words.groupBy(*PAGE, (F.rint(F.col("top") / 5) * 5).alias("y")).agg(dated.alias("dated"))
-    out = lines.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum("dated").alias("dated"))
+def multiline_dates(words: DataFrame, date_range: tuple = schema.DEFAULT_COLUMNS["Date"], top: float = 0, bottom: float = float("inf")) -> DataFrame:
+    """Whether less than 60 % of the lines of a page's date column, three or more, have a date: a month's name or a slash."""
+    inside = (F.col("x0") >= date_range[0]) & (F.col("x1") <= date_range[1]) & (F.col("top") >= top) & (F.col("bottom") <= bottom)
+    dated = text.contains_any(F.lower("text"), DATE_MARKS)
+    lines = words.groupBy(*PAGE, (F.rint(F.col("top") / 5) * 5).alias("y")).agg(
+        F.max(F.when(inside, 1).otherwise(0)).alias("counts"), F.max(F.when(inside & dated, 1).otherwise(0)).alias("dated")
+    )
+    out = lines.groupBy(*PAGE).agg(F.sum("counts").alias("n"), F.sum("dated").alias("dated"))
     return out.select(*PAGE, ((F.col("n") >= 3) & (F.col("dated") > 0) & (F.col("dated") / F.col("n") < 0.6)).alias("multiline"))
 
 

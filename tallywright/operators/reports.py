@@ -70,15 +70,19 @@ def with_amount(df: DataFrame) -> DataFrame:
 def exact_median(df: DataFrame, column: str, cells: int = 4096) -> DataFrame:
     """One row, ``median_amount``: the exact median without gathering all values in one task.
 
-    A first pass counts values in equal cells of their range; running counts
-    over the cells (a bounded number) tell which of them hold the middle
-    values. Only those cells' distinct values are then ordered.
+    An approximate quantile a little below and one a little above the middle
+    bracket it, whatever lies far out. Values below are counted, those inside
+    are counted in equal cells, and running counts over the cells (a bounded
+    number) tell which of them hold the middle values. Only those cells'
+    distinct values are then ordered.
     """
     value = F.col(column).cast("double")
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("all"))
+    known = df.where(value.isNotNull()).select(value.alias("v"))
+    around = known.agg(F.percentile_approx("v", F.array(F.lit(0.495), F.lit(0.505)), F.lit(1000)).alias("q"), F.count("*").alias("all"))
+    ends = F.broadcast(around.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "all"))  # one row
     share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    placed = df.where(value.isNotNull()).select(value.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    placed = placed.crossJoin(F.broadcast(ends)).withColumn("cell", F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int"))
+    cell = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), cells).otherwise(F.least(F.lit(cells - 1), F.floor(share * cells))).cast("int")
+    placed = known.groupBy("v").agg(F.count("*").alias("n")).crossJoin(ends).withColumn("cell", cell)
     counts = placed.groupBy("cell", "all").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.orderBy("cell"))
     middle = (
@@ -135,7 +139,7 @@ def high_value(df: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
-    """Equal details whose amounts stay within 5 % of their mean at monthly distances.
+    """Equal details whose amounts stay within 5 % of their mean at monthly distances; rows without details are no vendor's.
 
     The positive gaps between sorted days add up to last minus first, and there
     is one less of them than there are different days: no window over a
@@ -143,7 +147,7 @@ def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
     """
     valued = with_amount(df).withColumn("day", dates.parse_date(dates.add_year(F.col("date"), F.col("statement_year"))))
     value = _positive(F.col("amount"))
-    grouped = valued.groupBy(key).agg(
+    grouped = valued.where(F.col(key) != "").groupBy(key).agg(
         F.count("*").alias("n"),
         F.count(value).alias("valued"),
         F.avg(value.cast("double")).alias("mean"),
@@ -161,17 +165,18 @@ def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
             key,
             F.col("n").alias("occurrences"),
             F.round("mean", 2).alias("average_amount"),
-            F.round("mean_gap", 2).alias("average_gap_days"),
+            F.round("mean_gap", 1).alias("average_gap_days"),
             F.lit("monthly").alias("frequency"),
         )
     )
 
 
 def repeated_vendors(df: DataFrame, key: str = "details") -> DataFrame:
-    """Equal details that occur twice or more: all rows are counted, the average is over positive amounts."""
+    """Equal details that occur twice or more: all rows are counted, the average is over positive amounts; rows without details are no vendor's."""
     value = _positive(F.col("amount"))
     return (
         with_amount(df)
+        .where(F.col(key) != "")
         .groupBy(key)
         .agg(
             F.count("*").alias("n"),
@@ -224,10 +229,11 @@ def expense_report(df: DataFrame) -> DataFrame:
 
 
 def run_summary(processed: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: files, files with transactions, pages, transactions, duplicates."""
+    """One row: files, files with transactions, pages read, transactions, duplicates. ``files`` has a row and a number of pages for each."""
     counted = processed.agg(
         F.count_distinct("filename").alias("files_extracted"),
         F.count(F.when(~F.col("is_duplicate"), 1)).alias("transactions"),
         F.count(F.when(F.col("is_duplicate"), 1)).alias("duplicates"),
     )
-    return files.agg(F.count("*").alias("file_count")).crossJoin(counted)
+    read = files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_read"))
+    return read.crossJoin(F.broadcast(counted))  # one row each

@@ -25,6 +25,7 @@ HEADER_SHAPES = [
     r"\btable\s*header\b",
     r"'[^']*'\([^)]*\)",
 ]
+# Cells of header rows, and words that rule a date cell out.
 HEADER_CELLS = ["date", "details", "amount", "balance", "debit", "credit", "reference"]
 DATE_HEADERS = ["txndate", "transactiondate", "field", "column", "amount(", "balance(", "debit(", "credit(", "date("]
 # Shapes of dates.

@@ -142,15 +142,18 @@ def type_by_amount(debit: Column, credit: Column, document_type: Column) -> Colu
 
 def classify_types(df: DataFrame, account: str | None = None, order: Sequence[str] = ("ord",), template_words: dict | None = None) -> DataFrame:
     """transaction_type of every row; the chain is that of the account's first row, and each step looks at its own row's type too."""
-    kind = F.col("document_type")
-    lead = F.first(kind).over(Window.partitionBy(account).orderBy(*order)) if account else kind
+    kind = lead = F.col("document_type")
+    if account:
+        # the first row's type of each account: an aggregate that combines before the shuffle, not a sort of the account
+        firsts = df.groupBy(F.col(account).alias("_account")).agg(F.min_by(F.struct("document_type"), F.struct(*order))["document_type"].alias("_lead"))
+        df, lead = df.join(firsts, F.col(account) == F.col("_account")), F.col("_lead")
     steps = []
     if template_words:
         steps.append(type_by_words(F.col("details"), template_words))
     steps.append(F.when((lead == CARD) & (kind == CARD), type_by_words(F.col("details"), CARD_WORDS)))
     steps.append(F.when((lead == BANK) & (kind == BANK), type_by_words(F.col("details"), BANK_WORDS)))
     steps.append(type_by_amount(F.col("debit"), F.col("credit"), kind))
-    return df.withColumn("transaction_type", F.coalesce(*steps, F.lit("other")))
+    return df.withColumn("transaction_type", F.coalesce(*steps, F.lit("other"))).drop("_account", "_lead")
 
 
 # --- accounts --------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallywright.sources.ledger import DUPLICATED_SQL, FILES_SQL, LEDGER_SQL, PAGES_SQL, WORDS_SQL
+from tallywright.functions.iban import LENGTHS
+from tallywright.sources.ledger import CHARGES_SQL, DUPLICATED_SQL, FILES_SQL, HEADED_SQL, LEDGER_SQL, PAGES_SQL, WORDS_SQL
 
 L = f"WITH l AS ({LEDGER_SQL})"
 _DEC = "DECIMAL(38,10)"
@@ -97,17 +98,18 @@ NOT_DATES = ["product", "account", "total", "balance", "transaction", "statement
 SIGNS = ["/", "-", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DATED = f"(NOT {blank('date')} AND NOT {words_like('lower(date)', NOT_DATES)} AND length(date) <= 25 AND ({words_like('lower(date)', SIGNS)} OR regexp_matches(replace(date, ' ', ''), '^\\d+$')))"
 
+# Keyword lists, in the order of trial.
 CARD_WORDS = {
     "purchase": ["PURCHASE", "SALE", "POS", "CONTACTLESS", "ONLINE", "RECURRING PAYMENT", "SUBSCRIPTION", "E-COMMERCE"],
-    "payment": ["PAYMENT", "DIRECT DEBIT", "AUTOPAY"],
-    "fee": ["FEE", "CHARGE", "INTEREST"],
-    "refund": ["REFUND", "REVERSAL", "CREDIT"],
+    "payment": ["PAYMENT", "PAYMENT RECEIVED", "DIRECT DEBIT", "PAYMENT THANK YOU", "AUTOPAY"],
+    "fee": ["FEE", "CHARGE", "INTEREST", "ANNUAL FEE", "LATE FEE", "FOREIGN TRANSACTION FEE", "CASH ADVANCE FEE", "OVERLIMIT FEE"],
+    "refund": ["REFUND", "REVERSAL", "CREDIT", "CHARGEBACK"],
 }
 BANK_WORDS = {
-    "transfer": ["TRANSFER", "TRF", "SEPA", "WIRE"],
+    "transfer": ["TRANSFER", "TRF", "SEPA", "SEPA CREDIT", "SEPA DEBIT", "WIRE", "ONLINE TRANSFER", "MOBILE TRANSFER"],
     "payment": ["STANDING ORDER", "DIRECT DEBIT", "DD", "SO", "BILL PAYMENT"],
-    "interest": ["INTEREST", "INT CREDIT"],
-    "fee": ["CHARGE", "FEE"],
+    "interest": ["INTEREST", "INT CREDIT", "INTEREST CREDIT", "INTEREST PAID"],
+    "fee": ["CHARGE", "FEE", "MAINTENANCE FEE", "TRANSACTION FEE", "ATM FEE", "OVERDRAFT FEE"],
 }
 
 
@@ -179,7 +181,9 @@ def cells(strict: bool) -> str:
 
 
 DATE_SHAPES = ["^\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}$", "^\\d{1,2}\\s+[A-Za-z]{3,9}\\s+\\d{2,4}$", "^\\d{1,2}\\s+[A-Za-z]{3,9}$", "^\\d{1,2}[A-Z]{3}\\d{2,4}$"]
+# Shapes of header rows.
 HEADER_SHAPES = [
+    "'?\\w*date'?\\s*\\([^)]*date[^)]*\\)",
     "'?\\w*date'?\\s*\\([^)]*\\)",
     "\\btxndate\\b",
     "\\btransactiondate\\b",
@@ -322,16 +326,91 @@ SCORES = f"{P}, k AS (SELECT file, text, {doc_type()} AS document_type FROM p),
     ]
 ) + ")"
 
-IBAN_LENGTHS = {
-    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
-    23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
-    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT", 32: "LC",
-}
 _CLEAN_IBAN = "upper(regexp_replace(iban, '[\\s\\-.]', '', 'g'))"
-_LENGTH = "CASE " + " ".join(f"WHEN substr({_CLEAN_IBAN}, 1, 2) IN ({', '.join(repr(c) for c in cs.split())}) THEN {n}" for n, cs in IBAN_LENGTHS.items()) + " END"
+_LENGTH = f"CASE substr({_CLEAN_IBAN}, 1, 2) " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in LENGTHS.items()) + " END"
 VALID = f"coalesce(regexp_matches({_CLEAN_IBAN}, '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+$') AND length({_CLEAN_IBAN}) >= 15 AND length({_CLEAN_IBAN}) = {_LENGTH}, false)"
 
+# --- charges, layout and documents -------------------------------------------------------
+
+C = f"WITH l AS ({CHARGES_SQL}), {valued()}"
+_PLUS = "CASE WHEN amount > 0 THEN amount END"
+RECURRING = f"""r AS (
+    SELECT details, count(*) AS occurrences, round(avg(CAST({_PLUS} AS DOUBLE)), 2) AS average_amount, round(avg(CASE WHEN gap > 0 THEN gap END), 1) AS average_gap_days, 'monthly' AS frequency
+    FROM (SELECT *, day - lag(day) OVER (PARTITION BY details ORDER BY day, ord) AS gap, avg(CAST({_PLUS} AS DOUBLE)) OVER (PARTITION BY details) AS mean FROM v WHERE details <> '')
+    GROUP BY details HAVING count(*) >= 2 AND count({_PLUS}) >= 2 AND max(CASE WHEN amount > 0 THEN abs(CAST(amount AS DOUBLE) - mean) END) <= 0.05 * max(mean) AND avg(CASE WHEN gap > 0 THEN gap END) BETWEEN 25 AND 35)"""
+VENDORS = f"""d AS (
+    SELECT details, count(*) AS n, {even(f'sum({_PLUS})')} AS total, {_AVERAGE} AS average, CAST(min({_PLUS}) AS DOUBLE) AS lowest, CAST(max({_PLUS}) AS DOUBLE) AS highest
+    FROM v WHERE details <> '' GROUP BY details HAVING count(*) >= 2 AND count({_PLUS}) > 0)"""
+HIGH = "h AS (SELECT ord, date, details, CAST(amount AS DOUBLE) AS amount, round((CAST(amount AS DOUBLE) - mean_amount) / std_amount, 2) AS z_score FROM v, s WHERE amount > 0 AND std_amount > 0 AND CAST(amount AS DOUBLE) > mean_amount + 2 * std_amount)"
+
+H = f"WITH w AS (WITH b AS ({WORDS_SQL}), edges AS (SELECT file, page_no, min(word_seq) AS s, min(top) AS lo, max(top) AS hi FROM b GROUP BY 1, 2) {HEADED_SQL})"
+CLUSTERS = "k AS (SELECT file, page_no, cluster, avg(x0) AS center, count(*) AS size FROM (SELECT *, sum(cut) OVER (PARTITION BY file, page_no ORDER BY x0, word_seq) AS cluster FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY file, page_no ORDER BY x0, word_seq) > 3 THEN 1 ELSE 0 END AS cut FROM w)) GROUP BY 1, 2, 3 HAVING count(*) >= 2)"
+# Words of table headers and footers.
+HEADER_WORDS = ["date", "details", "description", "debit", "credit", "amount", "transaction", "reference", "particulars"]
+NOT_HEADER = ["forward", "interest", "lending", "@"]
+FOOTER_WORDS = ["continued", "overleaf", "page", "total", "balance brought forward", "balance carried forward", "end of statement", "thank you", "overdrawn", "for important information", "standard conditions", "regulated by", "authorised limit"]
+_HEADING = " + ".join(f"CASE WHEN contains(line, '{w}') THEN 1 ELSE 0 END" for w in HEADER_WORDS)
+# positions are walked downwards: each line knows the last data row above it
+TABLES = f"""{H}, g AS (SELECT file, page_no, round_even(top / 5, 0) * 5 AS y, lower(string_agg(text, ' ' ORDER BY word_seq)) AS line, count(*) AS n, min(x0) AS x0, max(x1) AS x1 FROM w GROUP BY 1, 2, 3),
+    t AS (SELECT file, page_no, min(y) AS hy FROM g WHERE NOT {words_like('line', NOT_HEADER)} AND ({_HEADING}) >= 3 AND n BETWEEN 4 AND 10 GROUP BY 1, 2),
+    r AS (SELECT g.*, hy, max(CASE WHEN n >= 3 OR y = hy THEN y END) OVER (PARTITION BY file, page_no ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM g JOIN t USING (file, page_no) WHERE y >= hy AND hy <> 0),
+    f AS (SELECT file, page_no, min(y) AS fy FROM r WHERE y > hy AND ({words_like('line', FOOTER_WORDS)} OR (y - above > 100 AND n < 10)) GROUP BY 1, 2),
+    p AS (SELECT r.*, fy, y - lag(y) OVER (PARTITION BY file, page_no ORDER BY y) AS step FROM r LEFT JOIN f USING (file, page_no) WHERE (n >= 3 OR y = hy) AND (fy IS NULL OR y < fy)),
+    z AS (SELECT file, page_no, min(x0) AS x0, max(hy) - 5 AS y0, max(x1) AS x1, coalesce(max(fy) - 10, max(y) + CASE WHEN count(*) >= 3 THEN coalesce(1.5 * avg(CASE WHEN step < 50 THEN step END), 20) ELSE 20 END) AS y1 FROM p GROUP BY 1, 2 HAVING count(*) >= 2),
+    q AS (SELECT * FROM z WHERE y1 - y0 >= 50)"""
+MONTH_MARKS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec", "/"]
+
+_SEARCH = ["\\b([A-Z]{2}\\d{2}[A-Z0-9]{10,30})\\b", "\\b([A-Z]{2}\\d{2}[A-Z0-9\\s]{10,30})\\b", "\\b([A-Z]{2}\\d{2}[\\s\\-\\.]*(?:[A-Z0-9][\\s\\-\\.]*){10,30})\\b"]
+_FOUND = "list_concat(list_concat({}, {}), {})".format(*[f"regexp_extract_all(text, '(?i){p}', 1)" for p in _SEARCH])
+_BY_COUNTRY = " OR ".join(f"(length(x) = {n} AND substr(x, 1, 2) IN ({', '.join(repr(c) for c, own in LENGTHS.items() if own == n)}))" for n in sorted(set(LENGTHS.values())))
+FIRST_IBAN = f"list_filter(list_transform({_FOUND}, lambda c: upper(regexp_replace(c, '[\\s\\-.]', '', 'g'))), lambda x: regexp_matches(x, '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+$') AND ({_BY_COUNTRY}))[1]"
+CHECKSUM = f"list_reduce(list_prepend(0, list_transform(string_split(concat(substr({_CLEAN_IBAN}, 5), substr({_CLEAN_IBAN}, 1, 4)), ''), lambda x: CAST(CASE WHEN x BETWEEN '0' AND '9' THEN ord(x) - 48 ELSE ord(x) - 55 END AS INTEGER))), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+
+
+def _explained(template: str, parts: list[tuple[str, str, float]], excluded: str = "") -> str:
+    rows = [f"SELECT file, '{template}' AS template_id, '{name}' AS detector, {e} AS confidence, round({e} * CAST({w} AS DOUBLE), 6) AS weighted FROM p WHERE {e} > 0" for name, e, w in parts]
+    if excluded:
+        rows.append(f"SELECT file, '{template}', 'exclusion', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM p WHERE {excluded}")
+    return " UNION ALL ".join(rows)
+
+
+_COLUMN_SHARE = f"CASE WHEN {_SHARE} >= 0.9 THEN CAST(0.9 AS DOUBLE) WHEN {_SHARE} >= 0.8 THEN CAST(0.75 AS DOUBLE) WHEN {_SHARE} >= 0.7 THEN CAST(0.6 AS DOUBLE) ELSE 0.0 END"
+EXPLAINED = " UNION ALL ".join(
+    [
+        _explained("default", [("column_header", _COLUMN_SHARE, 1.5)]),
+        _explained(
+            "bank_a",
+            [("iban", _case(_IBAN_AIB, 1.0), 2.0), ("filename", _case("file LIKE '%\\_aib.pdf' ESCAPE '\\'", 0.8), 0.8), ("header", _case(_has("statement of account"), 0.7), 1.0)],
+            _has("draft only"),
+        ),
+        _explained("bank_b", [("iban", _case(_IBAN_IE, 0.95), 2.0)], _has("draft only")),
+        _explained("card_a", [("card_number", _case("regexp_matches(text, '[*]{4} [*]{4} [*]{4} [0-9]{4}')", 0.9), 2.0), ("header", _TWO("credit limit", "card statement"), 1.0)]),
+        _explained("loan_default", [("loan_reference", _case("regexp_matches(text, 'LN-[0-9]+')", 0.9), 2.0), ("header", _case(_has("mortgage"), 0.7), 1.0)]),
+    ]
+)
+
 ORACLES: dict[str, str] = {
+    "expense_report": f"""{C}, {STATS}, {RECURRING}, {VENDORS}, {HIGH}
+        SELECT 'statistics' AS section, CAST(NULL AS VARCHAR) AS details, mean_amount AS value, CAST(NULL AS BIGINT) AS n FROM s UNION ALL SELECT 'recurring_charges', details, average_amount, occurrences FROM r
+        UNION ALL SELECT 'high_value', details, amount, NULL FROM h UNION ALL SELECT 'repeated_vendors', details, total, n FROM d""",
+    "iban_checksum": f"WITH {_F} SELECT filename, {CHECKSUM} AS passes FROM f WHERE iban IS NOT NULL",
+    "cluster_boundaries": f"""{W}, {CLUSTERS}, o AS (SELECT *, row_number() OVER p AS i, lead(center) OVER p AS following, min(center) OVER (PARTITION BY file, page_no) AS lo FROM k WINDOW p AS (PARTITION BY file, page_no ORDER BY center))
+        SELECT file, page_no, concat('Column', CAST(i AS VARCHAR)) AS name, round(center, 6) AS x_min, round(CASE WHEN following IS NOT NULL THEN (center + following) / 2 WHEN i > 1 THEN center + (center - lo) / (i - 1) ELSE center + 100 END, 6) AS x_max FROM o""",
+    "header_columns": f"""{H}, a AS (SELECT *, CASE WHEN x0 - lag(x1) OVER p > 10 THEN 1 ELSE 0 END AS cut FROM (SELECT *, min(top) OVER (PARTITION BY file, page_no) AS first FROM w) WHERE top <= first + 5 WINDOW p AS (PARTITION BY file, page_no ORDER BY x0, word_seq)),
+        b AS (SELECT *, sum(cut) OVER (PARTITION BY file, page_no ORDER BY x0, word_seq) AS island FROM a),
+        c AS (SELECT file, page_no, island, string_agg(text, ' ' ORDER BY word_seq) AS name, greatest(min(x0) - 5, 0) AS x_min, max(x1) + 50 AS x_max FROM b GROUP BY 1, 2, 3),
+        e AS (SELECT *, lead(x_min) OVER (PARTITION BY file, page_no ORDER BY x_min, island) AS following FROM c)
+        SELECT file, page_no, name, round(x_min, 6) AS x_min, round(CASE WHEN x_max > following THEN following - 1 ELSE x_max END, 6) AS x_max FROM e""",
+    "text_tables": f"{TABLES} SELECT file, page_no, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM q",
+    "estimated_rows": f"{TABLES} SELECT file, CAST(sum(floor((y1 - y0) / 15)) AS BIGINT) AS estimate FROM q GROUP BY 1",
+    "multiline_dates": f"""{W}, a AS (SELECT file, page_no, round_even(top / 5, 0) * 5 AS y, count(*) FILTER (WHERE x0 >= 26 AND x1 <= 78) AS n, count(*) FILTER (WHERE x0 >= 26 AND x1 <= 78 AND {words_like('lower(text)', MONTH_MARKS)}) AS dated FROM w GROUP BY 1, 2, 3),
+        b AS (SELECT file, page_no, count(*) FILTER (WHERE n > 0) AS total, count(*) FILTER (WHERE dated > 0) AS dated FROM a GROUP BY 1, 2) SELECT file, page_no, total >= 3 AND dated > 0 AND dated / total < 0.6 AS multiline FROM b""",
+    "document_facts": f"{P} SELECT file, {shapes('text', ['(?i)' + s for s in CARD_SHAPES])} AS is_card, TRY_CAST(regexp_extract(text, '(?i)Payment\\s+Due\\s+(?:Date\\s*[:\\s]\\s*)?\\d{{1,2}}(?:st|nd|rd|th)?\\s+\\w+,?\\s+(\\d{{4}})', 1) AS INTEGER) AS statement_year, {doc_type()} AS document_type, {FIRST_IBAN} AS iban FROM p",
+    "template_explain": f"{P} {EXPLAINED}",
+    "iban_spatial": f"""{W}, s AS (SELECT file, page_no, min(word_seq) - 10 AS word_seq, min(x0) - 20 AS x0, min(top) - 20 AS y0, max(x1) + 20 AS x1, max(bottom) + 20 AS y1 FROM w GROUP BY 1, 2),
+        n AS (SELECT file, word_seq, 'IE29AIBK93115212345678' AS iban, 60 AS a0, 295 AS a1, 50 AS b0, 58 AS b1, x0, y0, x1, y1 FROM s),
+        o AS (SELECT *, CASE WHEN b0 / 842.0 <= 0.25 THEN 50 ELSE 0 END + 30 * (1 - b0 / 842.0) AS score FROM n WHERE NOT (a0 <= x1 AND x0 <= a1 AND b0 <= y1 AND y0 <= b1))
+        SELECT file, iban, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, word_seq) AS i FROM o) WHERE i = 1""",
     "monthly_summary": f"""{L}, x AS (SELECT {parse_date(add_year())} AS day, {to_decimal('debit')} AS d, {to_decimal('credit')} AS c FROM l)
         SELECT CASE WHEN year(day) <= 1970 THEN 'Unknown' ELSE strftime(day, '%Y-%m') END AS month,
         {even('coalesce(sum(CASE WHEN d > 0 THEN d END), 0)')} AS debit, count(CASE WHEN d > 0 THEN 1 END) AS debit_transactions,
@@ -339,13 +418,9 @@ ORACLES: dict[str, str] = {
     "column_totals": f"{L} SELECT CAST(coalesce(sum(CAST({to_float('debit')} AS {_DEC})), 0) AS DOUBLE) AS debit, CAST(coalesce(sum(CAST({to_float('credit')} AS {_DEC})), 0) AS DOUBLE) AS credit FROM l",
     "totals_row": f"{L} SELECT 'TOTAL' AS date, '' AS details, {money(f'coalesce(sum(CAST({to_float(DEBIT)} AS {_DEC})), 0)')} AS debit, {money(f'coalesce(sum(CAST({to_float(CREDIT)} AS {_DEC})), 0)')} AS credit, '' AS balance FROM l",
     "expense_statistics": f"{L}, {valued()}, {STATS} SELECT * FROM s",
-    "high_value": f"{L}, {valued()}, {STATS} SELECT ord, date, details, CAST(amount AS DOUBLE) AS amount, round((CAST(amount AS DOUBLE) - mean_amount) / std_amount, 2) AS z_score FROM v, s WHERE amount > 0 AND std_amount > 0 AND CAST(amount AS DOUBLE) > mean_amount + 2 * std_amount",
-    "recurring_charges": f"""{L}, o AS (SELECT concat('customer ', o_custkey) AS details, o_orderdate AS placed, o_orderkey AS ord, CAST(round(o_totalprice / 1000000) + 20 AS DOUBLE) AS amount FROM orders),
-        g AS (SELECT details, amount, date_diff('day', lag(CAST(placed AS DATE)) OVER (PARTITION BY details ORDER BY CAST(placed AS DATE), ord), CAST(placed AS DATE)) AS gap FROM o),
-        a AS (SELECT details, count(*) AS n, avg(amount) AS mean, min(amount) AS low, max(amount) AS high, avg(CASE WHEN gap > 0 THEN gap END) AS mean_gap FROM g GROUP BY 1)
-        SELECT details, n AS occurrences, round(mean, 2) AS average_amount, round(mean_gap, 2) AS average_gap_days, 'monthly' AS frequency FROM a
-        WHERE n >= 2 AND high - mean <= 0.05 * mean AND mean - low <= 0.05 * mean AND mean_gap BETWEEN 25 AND 35""",
-    "repeated_vendors": f"{L}, {valued()} SELECT details, count(*) AS n, {even('sum(CASE WHEN amount > 0 THEN amount END)')} AS total, {_AVERAGE} AS average, CAST(min(CASE WHEN amount > 0 THEN amount END) AS DOUBLE) AS lowest, CAST(max(CASE WHEN amount > 0 THEN amount END) AS DOUBLE) AS highest FROM v GROUP BY 1 HAVING count(*) >= 2 AND sum(CASE WHEN amount > 0 THEN amount END) IS NOT NULL",
+    "high_value": f"{L}, {valued()}, {STATS}, {HIGH} SELECT * FROM h",
+    "recurring_charges": f"{C}, {RECURRING} SELECT * FROM r",
+    "repeated_vendors": f"{C}, {VENDORS} SELECT * FROM d",
     "similar_descriptions": f"{L} SELECT lower({strip('details')}) AS description, count(*) AS n FROM l GROUP BY 1",
     "amount_parse": f"{L} SELECT ord, {to_float('debit')} AS debit_value, {to_float('credit')} AS credit_value, CASE WHEN {to_float('balance')} >= 0 THEN {to_float('balance')} END AS balance_value FROM l",
     "decimal_amounts": f"{L} SELECT ord, CAST(CASE WHEN NOT {blank('debit')} THEN -({to_decimal('debit')}) WHEN NOT {blank('credit')} THEN {to_decimal('credit')} END AS DOUBLE) AS signed, CAST({to_decimal('balance')} AS DOUBLE) AS balance FROM l",
@@ -377,7 +452,7 @@ ORACLES: dict[str, str] = {
     "dedup_by_account": f"{_D}, {_F}, t AS (SELECT l.*, coalesce(right(upper(replace(iban, ' ', '')), 4), 'unknown') AS account FROM l LEFT JOIN f USING (filename)), {_marked(KEY_ALL, ', account')} SELECT ord, is_duplicate FROM m",
     "dedup_statistics": f"{_D}, t AS (SELECT * FROM l), {_marked(KEY_ALL)} SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_duplicate) AS unique_rows, count(*) FILTER (WHERE is_duplicate) AS duplicates, round(count(*) FILTER (WHERE is_duplicate) * 100.0 / count(*), 2) AS duplicate_rate FROM m",
     "chronological_order": f"{L} SELECT ord, row_number() OVER (PARTITION BY filename ORDER BY {parse_date('date', 'statement_year')}, ord) AS position FROM l",
-    "run_summary": f"{_D}, t AS (SELECT * FROM l), {_marked(KEY_ALL)}, {_F} SELECT (SELECT count(*) FROM f) AS file_count, count(DISTINCT filename) AS files_extracted, count(*) FILTER (WHERE NOT is_duplicate) AS transactions, count(*) FILTER (WHERE is_duplicate) AS duplicates FROM m",
+    "run_summary": f"{_D}, t AS (SELECT * FROM l), {_marked(KEY_ALL)}, {_F} SELECT (SELECT count(*) FROM f) AS file_count, count(DISTINCT filename) AS files_extracted, count(*) FILTER (WHERE NOT is_duplicate) AS transactions, count(*) FILTER (WHERE is_duplicate) AS duplicates, (SELECT CAST(sum(pages) AS BIGINT) FROM f) AS pages_read FROM m",
     "lines_by_y": f"{W}, {_LINES} SELECT * FROM n",
     "words_to_columns": f"{W} {cells(True)}",
     "words_to_columns_loose": f"{W} {cells(False)}",

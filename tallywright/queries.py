@@ -41,6 +41,14 @@ def _typed_rows(df: DataFrame) -> DataFrame:
     return layout.words_to_columns(df).withColumn("row_type", rows.row_type())
 
 
+def _headed(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(source.headed_words(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
 def _pages(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(source.pages_text(spark, sf_dir))
 
@@ -71,16 +79,13 @@ def _run_summary(spark, sf_dir):
     return reports.run_summary(marked, source.statement_files(spark, sf_dir))
 
 
-def _recurring(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.concat(F.lit("customer "), "o_custkey").alias("details"),
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"),
-        F.lit(None).cast("string").alias("statement_year"),
-        (F.round(col("o_totalprice") / 1000000) + 20).cast("decimal(18,2)").cast("string").alias("debit"),
-        F.lit("").alias("credit"),
-        col("o_orderkey").alias("ord"),
-    )
-    return reports.recurring_charges(orders)
+def _expense_report(spark, sf_dir):
+    """The findings, read back from their JSON."""
+    found = lambda name: F.get_json_object("entry", f"$.{name}")
+    value = F.coalesce(found("mean_amount"), found("average_amount"), found("amount"), found("total"))
+    n = F.coalesce(found("occurrences"), found("n"))
+    report = reports.expense_report(source.charges(spark, sf_dir))
+    return report.select("section", found("details").alias("details"), value.cast("double").alias("value"), n.cast("long").alias("n"))
 
 
 def _currency_format(df: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def _iban_words(df: DataFrame) -> DataFrame:
 def _iban_spatial(df: DataFrame) -> DataFrame:
     words = _iban_words(df)
     tables = layout.expand_tables(df.groupBy("file", "page_no").agg(F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1")))
-    return layout.best_candidate(layout.score_candidates(layout.outside_tables(layout.iban_candidates(words), tables), 842.0))
+    return _rounded(layout.best_candidate(layout.score_candidates(layout.outside_tables(layout.iban_candidates(words), tables), 842.0)), "score")
 
 
 QUERIES: dict[str, Query] = {
@@ -154,10 +159,10 @@ QUERIES: dict[str, Query] = {
     "totals_row": _ledger(lambda df: reports.totals_row(reports.column_totals(df), ("date", "details", "debit", "credit", "balance"))),
     "expense_statistics": _ledger(reports.expense_statistics),
     "high_value": _ledger(reports.high_value),
-    "recurring_charges": _recurring,
-    "repeated_vendors": _ledger(reports.repeated_vendors),
+    "recurring_charges": lambda spark, sf_dir: reports.recurring_charges(source.charges(spark, sf_dir)),
+    "repeated_vendors": lambda spark, sf_dir: reports.repeated_vendors(source.charges(spark, sf_dir)),
     "similar_descriptions": _ledger(reports.similar_descriptions),
-    "expense_report": _ledger(reports.expense_report),
+    "expense_report": _expense_report,
     "amount_parse": _cells(
         lambda: {
             "debit_value": amounts.to_float(col("debit")),
@@ -241,10 +246,10 @@ QUERIES: dict[str, Query] = {
     "x_clusters": _words(
         lambda df: layout.x_clusters(df).select("file", "page_no", "cluster", F.round("center", 6).alias("center"), "size")
     ),
-    "cluster_boundaries": _words(lambda df: layout.cluster_boundaries(layout.x_clusters(df))),
-    "header_columns": _words(layout.header_columns),
-    "text_tables": _words(layout.text_tables),
-    "estimated_rows": _words(lambda df: layout.estimated_rows(layout.text_tables(df))),
+    "cluster_boundaries": _words(lambda df: _rounded(layout.cluster_boundaries(layout.x_clusters(df)), "x_min", "x_max")),
+    "header_columns": _headed(lambda df: _rounded(layout.header_columns(df), "x_min", "x_max")),
+    "text_tables": _headed(lambda df: _rounded(layout.text_tables(df), "x0", "y0", "x1", "y1")),
+    "estimated_rows": _headed(lambda df: layout.estimated_rows(layout.text_tables(df))),
     "multiline_dates": _words(layout.multiline_dates),
     "crop_region": _words(lambda df: layout.crop(df, 100, 350, 300, 500).select("file", "page_no", "word_seq")),
     "bbox_overlap": _words(_box_overlap),

@@ -107,7 +107,7 @@ def test_table_and_columns_from_headers(spark):
     head = (290, [(30, "Date"), (80, "Details"), (260, "Debit"), (320, "Credit"), (380, "Balance")])
     df = spark.createDataFrame(words_of(head, first=-100) + statement(), WORD)
     table = layout.text_tables(df).first()
-    assert (table.y0, table.y1) == (290.0, 590.0)
+    assert (table.y0, table.y1) == (285.0, 590.0)  # five points over the header line
     names = [r.name for r in layout.header_columns(df).orderBy("x_min").collect()]
     assert names == ["Date", "Details", "Debit", "Credit", "Balance"]
 
