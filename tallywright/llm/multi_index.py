@@ -1,26 +1,34 @@
 """Embedding near-duplicates with an inverted multi-index.
 
 Vectors are halved; each half has its own codebook, fitted by k-means on a
-bounded sample (``SAMPLE`` distinct vectors in hash order). A vector lives in
-the cell (nearest word of the first half, nearest word of the second). A query
-walks cells in the order of a lower bound of the squared distance to anything
-in them, by multi-sequence traversal of the two sorted lists of half bounds.
-The bound of a half is its distance from the half's Voronoi cell, so the walk
-may stop where the bound passes the squared chord of the threshold: the recall
-reached is 1, and brute force on fixtures confirms it. Candidates are then
-verified by cosine in double precision.
+bounded sample (``SAMPLE`` distinct vectors, or ``PER_WORD`` for each word) of
+each vector length. A vector lives in the cell (nearest word of the first
+half, nearest word of the second); words grow with the square root of the
+table, so cells keep about ``OCCUPANCY`` vectors up to ``WORDS`` words, a
+thousand million vectors. A query walks cells in the order of a lower bound of
+the squared distance to anything in them, by multi-sequence traversal of the
+two sorted lists of half bounds, each the distance from a Voronoi cell.
+
+The walk stops at a bound for the target recall. Of a pair at the threshold
+whose difference has no preferred direction, the part along two given
+directions exceeds that bound in one of 1 / (1 - ``TARGET``) cases; pairs
+closer by do much more rarely. ``PROBES`` vectors are then compared with all
+others, and the bound is raised to ``MARGIN`` times the largest bound at which
+a linked one of theirs was met, up to the threshold's chord, where recall is 1
+whatever the data. Candidates are verified by cosine in double precision.
 
 Every vector is indexed and every vector is a query. Equal vectors are one
 node with a number of copies. A pair from two cells is met once, in the later
 cell; cells of more than ``BLOCK`` vectors are cut into blocks, which are
-separate units of work. A shard returns, per vector, a sum of links and at
-most one edge of a spanning forest; pairs are never emitted.
+separate units of work. Cells of like words share a shard, so that a query
+asks few of them. A shard returns, per vector, a sum of links and at most one
+edge of a spanning forest; pairs are never emitted.
 
 Edge cases: a null vector, one with null or non-finite components, an all-zero
 or empty one links with nothing and is its own component; vectors of different
-lengths never link; repeated vectors link with each other; rows whose vec_id
-is null link with nothing and have no component; an empty table gives no rows;
-labels and other columns are ignored.
+lengths never link; lengths of few vectors are one cell; repeated vectors link
+with each other; rows whose vec_id is null link with nothing and have no
+component; an empty table gives no rows; labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch, connected_components
-from tallywright.llm.simhash import Forest
+from tallywright.llm.common import Forest, Scratch, Shared, connected_components, hashed_share
 
 COSINE = 0.95
 SAMPLE = 16_384
+PER_WORD = 32
 BLOCK = 4096
 #: Vectors a cell should hold on average, and the most words of a codebook.
 OCCUPANCY = 256
-WORDS = 256
+WORDS = 2048
 SHARD = 16_384
+#: Share of the pairs at the threshold to be met, vectors that check it, and what is added to what they show.
+TARGET = 0.999
+PROBES = 256
+MARGIN = 2.0
 
 
 def units(rows: np.ndarray) -> np.ndarray:
@@ -63,10 +75,9 @@ def codebook(points: np.ndarray, words: int, turns: int = 12) -> np.ndarray:
     centres = points[start].copy()
     for _ in range(turns):
         near = nearest(points, centres)[0]
-        for k in range(len(centres)):
-            own = points[near == k]
-            if len(own):
-                centres[k] = own.mean(axis=0)
+        order = np.argsort(near, kind="stable")
+        kinds, first = np.unique(near[order], return_index=True)
+        centres[kinds] = np.add.reduceat(points[order], first, axis=0) / np.diff(np.append(first, len(near)))[:, None]
     return centres
 
 
@@ -76,13 +87,19 @@ def nearest(points: np.ndarray, centres: np.ndarray):
 
 
 class MultiIndex:
-    """Codebooks of both halves for one vector length."""
+    """Codebooks of both halves for one vector length; words of a half that lie near each other form a group."""
 
-    def __init__(self, sample: np.ndarray, words: int):
+    def __init__(self, sample: np.ndarray, words: int, groups: int = 1):
         self.cut = sample.shape[1] // 2
         halves = (sample[:, : self.cut], sample[:, self.cut :])
         self.books = [codebook(h, words) if h.shape[1] else np.zeros((1, 0)) for h in halves]
         self.gaps = [np.sqrt(np.maximum(nearest(b, b)[1], 1e-30)) for b in self.books]
+        self.groups = [nearest(b, codebook(b, groups))[0] if b.shape[1] else np.zeros(1, dtype=np.int64) for b in self.books]
+
+    def group(self, cell):
+        """Of a cell or an array of cells."""
+        first, second = np.divmod(cell, len(self.books[1]))
+        return self.groups[0][first] * 65_537 + self.groups[1][second]
 
     def halves(self, vectors):
         return vectors[:, : self.cut], vectors[:, self.cut :]
@@ -139,23 +156,56 @@ def _assign_pass(held):
         for batch in batches:
             size_of = np.zeros(batch.num_rows, dtype=np.int32)
             cell = np.zeros(batch.num_rows, dtype=np.int32)
+            group = np.zeros(batch.num_rows, dtype=np.int64)
             for size, rows, vectors in _by_size(batch, 0):
                 size_of[rows] = size
                 if size in books:
-                    cell[rows] = books[size].assign(units(vectors))
-            yield pa.RecordBatch.from_arrays([pa.array(size_of), pa.array(cell)], ["size", "cell"])
+                    cell[rows] = found = books[size].assign(units(vectors))
+                    group[rows] = books[size].group(found)
+            yield pa.RecordBatch.from_arrays([pa.array(size_of), pa.array(cell), pa.array(group)], ["size", "cell", "group"])
 
     return run
 
 
-def _route_pass(held, crowded, shards: int, limit: float, block: int):
+def _probe_pass(held, probes, cosine: float):
+    """The largest bound at which a probe meets one of its links, for each vector length of a batch."""
+
+    def run(batches):
+        books, asked = held.value, probes.value
+        for batch in batches:
+            sizes, worst = [], []
+            for size, _, vectors in _by_size(batch, 0):
+                if size in asked:
+                    unit = units(vectors)
+                    row, probe = np.nonzero(unit @ asked[size][0].T >= cosine)
+                    if len(row):
+                        first, second = np.divmod(books[size].assign(unit)[row], len(books[size].books[1]))
+                        sizes.append(size)
+                        worst.append(float((asked[size][1][0][probe, first] + asked[size][1][1][probe, second]).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(worst, pa.float64())], ["size", "worst"])
+
+    return run
+
+
+def _route_pass(held, crowded, wide, shards: int, limits: dict):
     """A row for each shard that a vector lives in or must ask; asked are later cells and later blocks of its own."""
 
     def run(batches):
-        books, crowds = held.value, crowded.value
+        books, crowds, widths = held.value, crowded.value, wide.value
+        known: dict[int, int] = {}
 
         def spot(size, cell, part):
-            return (size * 1_000_003 + cell) * 65_537 + part
+            return (size << 44) + (cell << 20) + part
+
+        def shard_of(size, index, place):
+            if (shard := known.get(place)) is None:
+                cell, part = (place >> 20) & 0xFFFFFF, place & 0xFFFFF
+                group = int(index.group(cell)) if index else 0
+                turn = (cell * 2654435761 & 0xFFFFFFFF) * widths.get((size, group), 1) >> 32
+                if len(known) > 500_000:
+                    known.clear()
+                known[place] = shard = (group + size * 31 + (part + turn) * 7919) % shards
+            return shard
 
         for batch in batches:
             out: dict[str, list] = {"shard": [], "row": [], "home": [], "asks": []}
@@ -171,16 +221,17 @@ def _route_pass(held, crowded, shards: int, limit: float, block: int):
                     home = spot(size, cell, part)
                     asks = [spot(size, cell, p) for p in range(part + 1, parts)]
                     if index:
-                        for other in index.visited(bounds[0][k], bounds[1][k], limit):
+                        for other in index.visited(bounds[0][k], bounds[1][k], limits[size]):
                             if other > cell:
                                 asks += [spot(size, other, p) for p in range(crowds.get((size, other), 1))]
-                    by: dict[int, list] = {home % shards: []}
+                    lives = shard_of(size, index, home)
+                    by: dict[int, list] = {lives: []}
                     for ask in asks:
-                        by.setdefault(ask % shards, []).append(ask)
+                        by.setdefault(shard_of(size, index, ask), []).append(ask)
                     for shard, asked in by.items():
                         out["shard"].append(shard)
                         out["row"].append(row)
-                        out["home"].append(home if shard == home % shards else -1)
+                        out["home"].append(home if shard == lives else -1)
                         out["asks"].append(asked)
             rows = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -261,24 +312,38 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, block: int = BLO
     distinct = scratch.keep(
         rows.where(real).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct"
     )
-    total = distinct.count()
-    sample = distinct.select("embedding").orderBy(F.xxhash64("rep")).limit(SAMPLE).toArrow().column(0).combine_chunks()
-    words = max(1, min(WORDS, round(math.sqrt(total / occupancy))))
-    books = {}
-    if len(sample):
-        sizes = sample.value_lengths().to_numpy(zero_copy_only=False)
-        for size in np.unique(sizes):
-            books[int(size)] = MultiIndex(units(_rows(sample.take(pa.array(np.flatnonzero(sizes == size))))), words)
-    held = spark.sparkContext.broadcast(books)
-    # at most words^2 cells for each vector length that the sample holds
-    cells = distinct.select("embedding").mapInArrow(_assign_pass(held), "size int, cell int").groupBy("size", "cell").count()
-    crowds = {(r[0], r[1]): -(-r[2] // block) for r in cells.where(F.col("count") > block).toLocalIterator()}
-    crowded = spark.sparkContext.broadcast(crowds)
+    sizes = {r[0]: r[1] for r in distinct.groupBy(F.size("embedding")).count().collect()}
+    total = sum(sizes.values())
     shards = max(8, total // SHARD * 4)
-    limit = 2 - 2 * cosine + 1e-9
+    books, limits, probes, chord = {}, {}, {}, 2 - 2 * cosine + 1e-9
+    for size, n in sorted(sizes.items()):
+        words = max(1, min(WORDS, round(math.sqrt(n / occupancy))))
+        if words == 1:
+            continue
+        own = distinct.where(F.size("embedding") == size)
+        found = own.where(hashed_share("rep", max(SAMPLE, PER_WORD * words), n)).select("rep", "embedding").toArrow().sort_by("rep")
+        sample = units(_rows(found.column(1).combine_chunks()))
+        books[size] = index = MultiIndex(sample, words, math.isqrt(shards) + 1)
+        limits[size] = min(chord, -2 * math.log(1 - TARGET) * chord / size)
+        asked = sample[:: max(1, len(sample) // PROBES)]
+        probes[size] = asked, index.bounds(asked)
+    held = Shared(spark, books)
+    if books:
+        seen = distinct.select("embedding").mapInArrow(_probe_pass(held, Shared(spark, probes), cosine), "size int, worst double")
+        for size, worst in seen.groupBy("size").agg(F.max("worst")).collect():
+            limits[size] = min(chord, max(limits[size], MARGIN * worst))
+    # at most words^2 cells for each vector length
+    cells = scratch.keep(
+        distinct.select("embedding").mapInArrow(_assign_pass(held), "size int, cell int, group long").groupBy("size", "cell", "group").count(), "cells"
+    )
+    # cells of like words go to one shard, unless they are too many vectors for one
+    groups = cells.groupBy("size", "group").agg(F.sum("count").alias("n")).where(F.col("n") > SHARD // 4)
+    wide = Shared(spark, {(r[0], r[1]): -(-r[2] // (SHARD // 4)) for r in groups.toLocalIterator()})
+    crowds = {(r[0], r[1]): -(-r[3] // block) for r in cells.where(F.col("count") > block).toLocalIterator()}
+    crowded = Shared(spark, crowds)
     kind = distinct.schema["embedding"].dataType.simpleString()
     routed = distinct.select("embedding", "rep", "copies").mapInArrow(
-        _route_pass(held, crowded, shards, limit, block),
+        _route_pass(held, crowded, wide, shards, limits),
         f"shard int, rep long, copies long, embedding {kind}, home long, asks array<long>",
     )
     found = scratch.keep(
