@@ -30,11 +30,9 @@ def init_directories(base: str, samples: bool = False) -> list[str]:
 
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from tallywright.operators import documents
     from tallywright.plans import engine
-    from tallywright.sources import files
+    from tallywright.sources import files, templates
 
     config = Config.from_env()
     if args.init:
@@ -47,8 +45,8 @@ def run(args: argparse.Namespace) -> int:
             print(name)
             df.show(20, False)
         return OK
-    heads = documents.header_text(words, 400).withColumn("page_no", F.lit(1))
-    print(json.dumps(engine.Engine(spark, config).run(words, heads), default=str, indent=2))
+    chosen = templates.load_folders([args.templates]) if args.templates else None
+    print(json.dumps(engine.Engine(spark, config).run(words, templates=chosen), default=str, indent=2))
     return OK
 
 
@@ -58,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--base-dir", default=".")
     parser.add_argument("--with-samples", action="store_true")
     parser.add_argument("--words", help="Parquet of positioned words; else PDFs of INPUT_DIR are decoded")
+    parser.add_argument("--templates", help="folder of template files; each document is read by the one that fits it")
     parser.add_argument("--analyze", help="Parquet of positioned words to analyse")
     parser.add_argument("--version", action="version", version="tallywright 0.1")
     args = parser.parse_args(argv)

@@ -133,6 +133,8 @@ class Config:
     formats: tuple[str, ...] = ("csv",)
     retention_days: int = 0
     cleanup_on_exit: bool = False
+    #: Accounts that get files of their own; all accounts are in the tables and reports that are written as a whole.
+    account_files: int = 1000
     columns: Mapping[str, tuple] = field(default_factory=lambda: dict(schema.DEFAULT_COLUMNS))
     duplicate_strategy: str = "all_fields"
     entitlements: Entitlements = field(default_factory=Entitlements)

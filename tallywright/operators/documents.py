@@ -50,22 +50,33 @@ def document_type(header: Column) -> Column:
     )
 
 
-def header_text(words: DataFrame, below: float) -> DataFrame:
-    """Text of the first page above a height."""
+# How far down a first page bank names, column headers and account numbers, and signs of a document's type stand.
+BANDS = {"text250": 250, "text350": 350, "text400": 400}
+
+
+def first_pages(words: DataFrame) -> DataFrame:
+    """(file, page_no, text, text250, text350, text400): the first page's text, and that of its upper parts, from one aggregate."""
     from tallywright.operators.layout import ordered_text
 
-    return words.where((F.col("page_no") == 1) & (F.col("top") < below)).groupBy("file").agg(ordered_text().alias("text"))
+    parts = [ordered_text(F.col("top") < y).alias(name) for name, y in BANDS.items()]
+    return words.where("page_no = 1").groupBy("file", "page_no").agg(ordered_text().alias("text"), *parts)
+
 
+def band(pages: DataFrame, name: str) -> Column:
+    """The text of an upper part of a page; the whole text where the frame has no such part or it is empty."""
+    return F.coalesce(F.when(F.col(name) != "", F.col(name)), F.col("text")) if name in pages.columns else F.col("text")
 
-def document_facts(pages: DataFrame) -> DataFrame:
-    """Card test, year, type and account number of each document's first page."""
-    t = F.col("text")
+
+def document_facts(pages: DataFrame, card_patterns: Sequence[str] = CARD_TYPE[:1]) -> DataFrame:
+    """Card test, year, type, account number and card number of each document's first page."""
+    head = band(pages, "text400")
     return pages.where("page_no = 1").select(
         "file",
-        is_card_statement(t).alias("is_card"),
-        statement_year(t).alias("statement_year"),
-        document_type(t).alias("document_type"),
-        iban.find_iban(t).alias("iban"),
+        is_card_statement(head).alias("is_card"),
+        statement_year(head).alias("statement_year"),
+        document_type(head).alias("document_type"),
+        iban.find_iban(band(pages, "text350")).alias("iban"),
+        first_match(head, list(card_patterns)).alias("card"),
     )
 
 
@@ -83,15 +94,17 @@ def skip_cards(facts: DataFrame, require_iban: bool) -> DataFrame:
 # --- templates -------------------------------------------------------------------------
 
 
-def detectors(template: Mapping) -> dict[str, Column]:
+def detectors(template: Mapping, pages: DataFrame) -> dict[str, Column]:
     """Confidence of each detector that has something to look for; null where it finds nothing.
 
+    Bank names count in the upper 250 points of a page, column headers in the upper 350, where the frame tells them apart.
+
     Templates are few, so their patterns are folded into expressions: matching
     every document with every template is one scan, without a join.
     """
     d = template.get("detection", {})
     name, page = F.col("file"), F.col("text")
-    low = F.lower(page)
+    low = F.lower(band(pages, "text250"))
     found: dict[str, Column] = {}
 
     def best(patterns, make, confidence):
@@ -117,7 +130,8 @@ def detectors(template: Mapping) -> dict[str, Column]:
         hits = sum((F.when(F.contains(low, F.lit(w.lower())), 1).otherwise(0) for w in d["header_keywords"]), F.lit(0))
         found["header"] = F.when(hits >= 2, 0.75).when(hits == 1, 0.70)
     if d.get("column_headers"):
-        hits = sum((F.when(F.contains(low, F.lit(w.lower())), 1).otherwise(0) for w in d["column_headers"]), F.lit(0))
+        upper = F.lower(band(pages, "text350"))
+        hits = sum((F.when(F.contains(upper, F.lit(w.lower())), 1).otherwise(0) for w in d["column_headers"]), F.lit(0))
         share = hits / len(d["column_headers"])
         found["column_header"] = F.when(share >= 0.9, 0.90).when(share >= 0.8, 0.75).when(share >= 0.7, 0.60)
     return found
@@ -138,7 +152,7 @@ def template_scores(pages: DataFrame, templates: Sequence[Mapping], weights: Map
     for t in templates:
         if not t.get("enabled", True):
             continue
-        found = detectors(t) | {n: f(t) for n, f in (extra or {}).items()}
+        found = detectors(t, pages) | {n: f(t) for n, f in (extra or {}).items()}
         value = lambda c: F.coalesce(c, F.lit(0.0))
         score = sum((value(c) * weights.get(n, 1.0) for n, c in found.items()), F.lit(0.0))
         best = F.greatest(F.lit(0.0), *[value(c) for c in found.values()], F.lit(0.0))
@@ -152,7 +166,7 @@ def template_scores(pages: DataFrame, templates: Sequence[Mapping], weights: Map
                 is_excluded(t).alias("excluded"),
             )
         )
-    typed = pages.where("page_no = 1").withColumn("document_type", document_type(F.col("text")))
+    typed = pages.where("page_no = 1").withColumn("document_type", document_type(band(pages, "text400")))
     return typed.select("file", "document_type", F.explode(F.array(*entries)).alias("e")).select("file", "document_type", "e.*")
 
 
@@ -176,7 +190,7 @@ def template_explanation(pages: DataFrame, templates: Sequence[Mapping], weights
     for t in templates:
         if not t.get("enabled", True):
             continue
-        found = detectors(t) | {"exclusion": F.when(is_excluded(t), 0.0)}
+        found = detectors(t, pages) | {"exclusion": F.when(is_excluded(t), 0.0)}
         for name, confidence in found.items():
             entries.append(
                 F.struct(

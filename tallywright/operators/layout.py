@@ -98,11 +98,18 @@ def build_rows(words: DataFrame, columns: Mapping[str, tuple] = schema.DEFAULT_C
     return kept.withColumn("row_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y_key")))
 
 
-def page_bounds(pages: DataFrame, overrides: DataFrame, top=TABLE_TOP, bottom=TABLE_BOTTOM) -> DataFrame:
-    """Bounds of each page, field by field from its override or the template."""
-    return pages.join(overrides, "page_no", "left").withColumns(
-        {"table_top": F.coalesce("table_top", F.lit(top)), "table_bottom": F.coalesce("table_bottom", F.lit(bottom)), "header_top": F.coalesce("header_top", F.greatest(F.coalesce("table_top", F.lit(top)) - 50, F.lit(0)))}
-    )
+def page_bounds(overrides: Mapping[int, Mapping], top=TABLE_TOP, bottom=TABLE_BOTTOM, header_top=None) -> tuple[Column, Column, Column]:
+    """(top, bottom, header's top) of a word's page, field by field from the page's override or the template. Pages with overrides are few: one CASE each."""
+
+    def of(field: str, default) -> Column:
+        chosen = F.lit(None).cast("double")
+        for page, own in overrides.items():
+            if own.get(field) is not None:
+                chosen = F.when(F.col("page_no") == page, float(own[field])).otherwise(chosen)
+        return F.coalesce(chosen, F.lit(default).cast("double"))
+
+    upper = of("table_top_y", top)
+    return upper, of("table_bottom_y", bottom), F.coalesce(of("header_check_top_y", header_top), F.greatest(upper - 50, F.lit(0.0)))
 
 
 def crop(words: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

@@ -22,15 +22,16 @@ def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def monthly_summary(df: DataFrame) -> DataFrame:
-    """Sums and counts of positive debits and credits by month; unreadable dates are ``Unknown``."""
+def monthly_summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and counts of positive debits and credits by month, and by further columns; unreadable dates are ``Unknown``."""
     dated = df.select(
+        *by,
         dates.month_key(dates.parse_date(dates.add_year(F.col("date"), F.col("statement_year")))).alias("month"),
         _positive(amounts.to_decimal(F.col("debit"))).alias("d"),
         _positive(amounts.to_decimal(F.col("credit"))).alias("c"),
     )
     zero = F.lit(0).cast(amounts.DECIMAL)
-    return dated.groupBy("month").agg(
+    return dated.groupBy(*by, "month").agg(
         rounded(F.coalesce(F.sum("d"), zero)).alias("debit"),
         F.count("d").alias("debit_transactions"),
         rounded(F.coalesce(F.sum("c"), zero)).alias("credit"),
@@ -138,7 +139,7 @@ def high_value(df: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
+def recurring_charges(df: DataFrame, key: str = "details", by: tuple[str, ...] = ()) -> DataFrame:
     """Equal details whose amounts stay within 5 % of their mean at monthly distances; rows without details are no vendor's.
 
     The positive gaps between sorted days add up to last minus first, and there
@@ -147,7 +148,7 @@ def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
     """
     valued = with_amount(df).withColumn("day", dates.parse_date(dates.add_year(F.col("date"), F.col("statement_year"))))
     value = _positive(F.col("amount"))
-    grouped = valued.where(F.col(key) != "").groupBy(key).agg(
+    grouped = valued.where(F.col(key) != "").groupBy(*by, key).agg(
         F.count("*").alias("n"),
         F.count(value).alias("valued"),
         F.avg(value.cast("double")).alias("mean"),
@@ -162,6 +163,7 @@ def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
         grouped.withColumn("mean_gap", gap)
         .where((F.col("n") >= 2) & (F.col("valued") >= 2) & steady & F.col("mean_gap").between(*MONTH_GAP))
         .select(
+            *by,
             key,
             F.col("n").alias("occurrences"),
             F.round("mean", 2).alias("average_amount"),
@@ -171,13 +173,13 @@ def recurring_charges(df: DataFrame, key: str = "details") -> DataFrame:
     )
 
 
-def repeated_vendors(df: DataFrame, key: str = "details") -> DataFrame:
+def repeated_vendors(df: DataFrame, key: str = "details", by: tuple[str, ...] = ()) -> DataFrame:
     """Equal details that occur twice or more: all rows are counted, the average is over positive amounts; rows without details are no vendor's."""
     value = _positive(F.col("amount"))
     return (
         with_amount(df)
         .where(F.col(key) != "")
-        .groupBy(key)
+        .groupBy(*by, key)
         .agg(
             F.count("*").alias("n"),
             rounded(F.sum(value)).alias("total"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tallywright.config import Config, ConfigurationError
 from tallywright.functions import iban
-from tallywright.operators import documents, layout, rows
+from tallywright.operators import documents, layout, reports, rows
 from tallywright.operators import transactions as txn
 from tallywright.sinks import files as sink
+from tallywright.sources.templates import usable as usable_templates
 
 KEYS = {"all_fields": txn.key_all_fields, "date_amount": txn.key_date_amount, "credit_card": txn.key_card}
 
@@ -23,7 +24,7 @@ def duplicate_key(name: str) -> Column:
     return KEYS[name]()
 
 
-def within_bounds(words: DataFrame, top: float, bottom: float) -> DataFrame:
+def within_bounds(words: DataFrame, top, bottom) -> DataFrame:
     return words.where((F.col("top") >= top) & (F.col("top") <= bottom))
 
 
@@ -31,16 +32,17 @@ def extract(words: DataFrame, config: Config | None = None, template: Mapping |
     """Rows of statements from positioned words: bounds, rows, valid pages, merging and forward fill."""
     config = config or Config()
     layout_of = (template or {}).get("extraction", {})
-    top, bottom = layout_of.get("table_top_y", config.table_top), layout_of.get("table_bottom_y", config.table_bottom)
+    least, most = layout_of.get("table_top_y", config.table_top), layout_of.get("table_bottom_y", config.table_bottom)
+    top, bottom, header_top = layout.page_bounds(layout_of.get("per_page_overrides", {}), least, most, layout_of.get("header_check_top_y"))
     columns = {k: tuple(v) for k, v in (layout_of.get("columns") or config.columns).items()}
     if config.dynamic_boundary:
         area = within_bounds(words, top, bottom + 100)
-        ends = layout.clamp_boundary(layout.boundaries(layout.typed_lines(area, columns, top), bottom), bottom)
+        ends = layout.clamp_boundary(layout.boundaries(layout.typed_lines(area, columns, least), most), most)
         table = area.join(ends.select("file", "page_no", "boundary"), ["file", "page_no"]).where(F.col("top") <= F.col("boundary"))
     else:
         table = within_bounds(words, top, bottom)
     if layout_of.get("enable_header_check"):
-        head = words.where((F.col("top") < top) & (F.col("top") >= max(0, top - 50)))
+        head = words.where((F.col("top") < top) & (F.col("top") >= header_top))
         table = table.join(rows.detect_headers(head).where("has_header"), ["file", "page_no"], "left_semi")
     built = layout.build_rows(table, columns)
     valid = rows.valid_pages_only(built) if layout_of.get("enable_page_validation", True) else built
@@ -70,13 +72,6 @@ def process(rows_in: DataFrame, files: DataFrame, config: Config | None = None)
     return done.orderBy("account_suffix", "parsed_date", "ord") if config.sort_by_date else done
 
 
-def account_numbers(pages: DataFrame) -> DataFrame:
-    """(filename, iban, card) of each document."""
-    facts = documents.document_facts(pages)
-    cards = pages.where("page_no = 1").select("file", documents.first_match(F.col("text"), documents.CARD_TYPE[:1]).alias("card"))
-    return facts.join(cards, "file").select(F.element_at(F.split("file", "/"), -1).alias("filename"), "iban", "card")
-
-
 def iban_ledger(files: DataFrame) -> DataFrame:
     """Masked numbers and digests; never the number itself."""
     return files.where("iban is not null").select("filename", iban.mask_iban(F.col("iban")).alias("masked"), F.sha2("iban", 256).alias("digest"))
@@ -131,35 +126,46 @@ def validate_template(words: DataFrame, template: Mapping) -> DataFrame:
 
 
 class Engine:
-    """A run over stored words: extraction, accounts, files and log."""
+    """A run over stored words: templates, extraction, accounts, files, log and retention."""
 
     def __init__(self, spark: SparkSession, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
 
-    def run(self, words: DataFrame, pages: DataFrame | None = None, template: Mapping | None = None) -> dict:
-        config = self.config
-        found = extract(words, config, template).withColumns(
-            {"ord": F.col("page_no") * 1_000_000 + F.col("row_no"), "statement_year": F.lit(None).cast("string")}
-        )
-        files = account_numbers(pages) if pages is not None else self.spark.createDataFrame([], "filename string, iban string, card string")
-        done = process(found, files, config)
-        folder = f"{config.output_dir}/accounts"
-        sink.write_accounts(done, folder)
-        stored = self.spark.read.parquet(folder)
-        summary = stored.agg(
-            F.count_distinct("filename").alias("files"),
-            F.count(F.when(~F.col("is_duplicate"), 1)).alias("transactions"),
-            F.count(F.when(F.col("is_duplicate"), 1)).alias("duplicates"),
-        ).first().asDict()
+    def run(self, words: DataFrame, pages: DataFrame | None = None, template: Mapping | None = None, templates: Sequence[Mapping] | None = None) -> dict:
+        """Extracts under the given template, or the one of ``templates`` that fits each document, and writes all results."""
+        config, folder = self.config, self.config.output_dir
+        need_iban = config.entitlements.require_iban
+        pages = documents.first_pages(words) if pages is None else pages
+        facts = documents.skip_cards(documents.document_facts(pages), need_iban)
+        usable = usable_templates(templates, need_iban) if templates else None
+        found = extract_matched(words, pages, usable, config) if usable else extract(words, config, template)
+        read = found.join(facts.where("warning is null").select("file", F.col("statement_year").cast("string").alias("statement_year")), "file")
+        # file, page and row together name a row: no two rows tie
+        placed = read.withColumn("ord", F.struct("file", "page_no", "row_no"))
+        counts = placed.groupBy("file").agg(F.count("*").alias("n_rows"))
+        sink.append_excluded(documents.excluded_documents(facts, counts, need_iban), config.logs_dir)
+        read_pages = words.groupBy("file").agg(F.count_distinct("page_no").alias("pages"))
+        files = facts.join(read_pages, "file").select(F.element_at(F.split("file", "/"), -1).alias("filename"), "iban", "card", "pages")
+        sink.write_json(iban_ledger(files).orderBy("filename"), f"{folder}/ibans.json")
+        done = process(placed, files, config)
+        sink.write_accounts(done, f"{folder}/accounts")
+        stored = self.spark.read.parquet(f"{folder}/accounts")
+        summary = reports.run_summary(stored, files).first().asDict()
+        known = {t["id"]: t for t in usable or ([template] if template else [])}
+        # of each account, the template of its first row
+        accounts = stored.groupBy("account_suffix").agg(F.min_by("template_id", "ord").alias("template_id"))
+        sink.write_reports(stored.where("not is_duplicate"), f"{folder}/reports")
         written = {}
-        for row in stored.select("account_suffix").distinct().toLocalIterator():
+        for row in accounts.orderBy("account_suffix").limit(config.account_files).toLocalIterator():
             own = stored.where(F.col("account_suffix") == row[0])
+            words_of = known.get(row[1], {}).get("transaction_types")
+            own = txn.classify_types(own, None, template_words=words_of) if words_of else own
             unique = txn.output_rows(own.where("not is_duplicate").orderBy("parsed_date", "ord"))
             repeated = txn.output_rows(txn.duplicates_for_output(own))
             written[row[0]] = sink.write_group(
-                unique, repeated, row[0], config.output_dir, config.formats, config.monthly_summary, config.expense_analysis, config.entitlements
+                unique, repeated, row[0], folder, config.formats, config.monthly_summary, config.expense_analysis, config.entitlements, config.totals
             )
         sink.append_log(config.logs_dir, "processing", **summary)
+        if config.cleanup_on_exit and config.retention_days > 0:
+            summary["deleted"] = sink.delete_files(sink.expired(self.spark, folder, config.retention_days), config.logs_dir, "retention")
         return summary | {"written": written}
-
-

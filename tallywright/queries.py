@@ -262,6 +262,6 @@ QUERIES: dict[str, Query] = {
     "template_explain": _pages(
         lambda df: documents.template_explanation(df, templates.SAMPLES).withColumn("weighted", F.round("weighted", 6))
     ),
-    "document_facts": _pages(documents.document_facts),
+    "document_facts": _pages(lambda df: documents.document_facts(df).drop("card")),
     "template_select": _pages(lambda df: documents.select_template(_scores(df), templates.SAMPLES)),
 }

@@ -27,6 +27,13 @@ def write_accounts(df: DataFrame, folder: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("account_suffix").format(format).save(folder)
 
 
+def write_reports(df: DataFrame, folder: str) -> None:
+    """Months, recurring charges and repeated vendors of all accounts at once, a folder for each account."""
+    by = ("account_suffix",)
+    for name, made in (("monthly_summary", reports.monthly_summary), ("recurring_charges", reports.recurring_charges), ("repeated_vendors", reports.repeated_vendors)):
+        made(df, by=by).write.mode("overwrite").partitionBy(*by).json(f"{folder}/{name}")
+
+
 def numeric_projection(df: DataFrame) -> DataFrame:
     """Cells of money columns as numbers where they are numbers."""
     is_money = lambda n: any(p in n.lower() for p in NUMERIC)
@@ -43,6 +50,7 @@ def write_csv(df: DataFrame, path: str, columns=schema.OUTPUT_COLUMNS, totals: D
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         json.dump([r.asDict(recursive=True) for r in df.toLocalIterator()], out, indent=2, ensure_ascii=False, default=str)
 
@@ -65,8 +73,9 @@ def write_excel(df: DataFrame, path: str, columns=schema.OUTPUT_COLUMNS, totals:
                 cell.number_format = "#,##0.00"
     if totals is not None:
         row = totals.first()
+        place = sheet.max_row + 2
         for k, c in enumerate(columns, 1):
-            sheet.cell(row=sheet.max_row + (2 if k == 1 else 0), column=k, value=row[c] if c in row else "")
+            sheet.cell(row=place, column=k, value=row[c] if c in row else "")
     book.save(path)
 
 
@@ -82,15 +91,17 @@ def writer(name: str, entitlements: Entitlements | None = None) -> Callable:
     return WRITERS[name]
 
 
-def write_group(df: DataFrame, duplicates: DataFrame, suffix: str, folder: str, formats=("csv",), monthly: bool = True, expenses: bool = True, entitlements: Entitlements | None = None) -> dict[str, str]:
-    """Files of one account: rows in each format, duplicates always, reports where there are rows."""
+def write_group(df: DataFrame, duplicates: DataFrame, suffix: str, folder: str, formats=("csv",), monthly: bool = True, expenses: bool = True, entitlements: Entitlements | None = None, totals: tuple[str, ...] = ()) -> dict[str, str]:
+    """Files of one account: rows in each format, with totals where it has a place for them, duplicates always, reports where there are rows."""
     os.makedirs(folder, exist_ok=True)
     paths: dict[str, str] = {}
     shown = df.select(*[c for c in df.columns])
     for name in formats:
         kind = canonical_format(name)
         paths[kind] = f"{folder}/bank_statements_{suffix}.{ENDINGS[kind]}"
-        writer(kind, entitlements)(shown, paths[kind])
+        columns = schema.OUTPUT_COLUMNS
+        summed = reports.totals_row(reports.column_totals(shown.select(*columns), totals), columns) if totals else None
+        writer(kind, entitlements)(shown, paths[kind], totals=summed)
     paths["duplicates"] = f"{folder}/duplicates_{suffix}.json"
     write_json(duplicates, paths["duplicates"])
     if not df.isEmpty():
@@ -102,7 +113,11 @@ def write_group(df: DataFrame, duplicates: DataFrame, suffix: str, folder: str,
         if expenses:
             paths["expenses"] = f"{folder}/expense_analysis_{suffix}.json"
             placed = lower.withColumn("ord", F.monotonically_increasing_id())
-            write_json(reports.expense_report(placed), paths["expenses"])
+            try:
+                write_json(reports.expense_report(placed).orderBy("section", F.get_json_object("entry", "$.total").cast("double").desc()), paths["expenses"])
+            except Exception as e:  # a report that fails must not cost the account its files
+                Path(paths["expenses"]).write_text(json.dumps({"error": str(e).splitlines()[0]}), encoding="utf-8")
+                return paths
             paths["expense_transactions"] = f"{folder}/expense_transactions_{suffix}.json"
             listed = reports.expense_transactions(placed).orderBy("section", "details", "day", "ord")
             write_json(listed.select("section", "details", "date", "amount"), paths["expense_transactions"])
@@ -120,16 +135,21 @@ def append_excluded(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(f"{folder}/excluded_files")
 
 
+def _outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Output files of the top level; tables and reports in folders of their own are not among them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,xlsx}").option("recursiveFileLookup", True).load(folder)
+    own = folder.split(":", 1)[-1].rstrip("/").lstrip("/")
+    return found.select("path", "length", "modificationTime").where(F.regexp_extract("path", "^(?:[a-z0-9]+:)?/*(.*)/[^/]*$", 1).endswith(own))
+
+
 def expired(spark: SparkSession, folder: str, days: int, now: datetime | None = None) -> DataFrame:
     """Output files of the top level that are older than so many days; none for zero."""
     cutoff = (now or datetime.now(timezone.utc)) - timedelta(days=days)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,xlsx}").load(folder).select("path", "length", "modificationTime")
-    return files.where(F.lit(days > 0) & (F.col("modificationTime") < F.lit(cutoff)))
+    return _outputs(spark, folder).where(F.lit(days > 0) & (F.col("modificationTime") < F.lit(cutoff)))
 
 
 def modified_between(spark: SparkSession, folder: str, start: datetime, end: datetime) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,xlsx}").load(folder).select("path", "length", "modificationTime")
-    return files.where(F.col("modificationTime").between(F.lit(start), F.lit(end)))
+    return _outputs(spark, folder).where(F.col("modificationTime").between(F.lit(start), F.lit(end)))
 
 
 def delete_files(selected: DataFrame, logs: str, reason: str, passes: int = 3) -> int:

@@ -141,11 +141,44 @@ def test_engine_end_to_end(spark, tmp_path):
     pages = spark.createDataFrame([("f.pdf", 1, "IBAN: IE29AIBK93115212345678"), ("g.pdf", 1, "IBAN: IE29AIBK93115212345678")], "file string, page_no int, text string")
     config = Config(output_dir=str(tmp_path / "out"), logs_dir=str(tmp_path / "logs"), formats=("csv", "json"))
     done = engine.Engine(spark, config).run(words, pages)
-    assert (done["files"], done["transactions"], done["duplicates"]) == (2, 5, 5)
-    assert len((tmp_path / "out" / "bank_statements_5678.csv").read_text().splitlines()) == 6
+    assert (done["file_count"], done["files_extracted"], done["pages_read"], done["transactions"], done["duplicates"]) == (2, 2, 2, 5, 5)
+    lines = (tmp_path / "out" / "bank_statements_5678.csv").read_text().splitlines()
+    assert len(lines) == 8 and lines[6] == "" and lines[7].startswith('"TOTAL","","15.00"')
     assert (tmp_path / "logs" / "processing_activity.jsonl").exists()
 
 
+def test_run_with_templates_cards_and_exclusions(spark, tmp_path):
+    """Two templates with columns of their own, a card statement that the tier skips, a document without anything."""
+    iban = lambda n: (50, [(30, "IBAN:"), (70, n)])
+    shifted = [(410 + 12 * k, [(30, f"1{k}/02/23"), (80, f"Other{k}"), (300, f"{k + 1}.50")]) for k in range(3)]
+    early = [(320, [(30, "01/01/23"), (80, "TooHigh"), (300, "9.99")])]
+    words = (
+        words_of(iban("IE29AIBK93115212345678"), first=-50, file="a.pdf") + statement("a.pdf")
+        + words_of(iban("IE64BOFI90583812345678"), *early, *shifted, file="b.pdf")
+        + words_of((40, [(30, "Credit"), (70, "Limit")]), *shifted, file="card.pdf")
+        + words_of((40, [(30, "Dear"), (70, "customer")]), file="empty.pdf")
+    )
+    columns = {"Date": [26, 78], "Details": [78, 255], "Debit": [255, 313], "Credit": [313, 369], "Balance": [369, 434]}
+    moved = columns | {"Debit": [295, 313], "Details": [78, 295]}
+    chosen = [
+        templates.parse_template({"id": "aib", "detection": {"iban_patterns": ["IE[0-9]{2}AIBK.*"]}, "extraction": {"table_top_y": 300, "table_bottom_y": 590, "columns": columns}}),
+        templates.parse_template({"id": "bofi", "detection": {"iban_patterns": ["IE[0-9]{2}BOFI.*"]}, "extraction": {"table_top_y": 300, "table_bottom_y": 720, "columns": moved, "per_page_overrides": {"1": {"table_top_y": 400}}}}),
+    ]
+    config = Config(output_dir=str(tmp_path / "out"), logs_dir=str(tmp_path / "logs"), cleanup_on_exit=True, retention_days=30)
+    done = engine.Engine(spark, config).run(spark.createDataFrame(words, WORD), templates=chosen)
+    assert (done["file_count"], done["files_extracted"], done["pages_read"], done["transactions"]) == (4, 2, 4, 8)
+    assert done["deleted"] == 0
+    stored = spark.read.parquet(str(tmp_path / "out" / "accounts"))
+    assert {(r.filename, r.template_id) for r in stored.select("filename", "template_id").distinct().collect()} == {("a.pdf", "aib"), ("b.pdf", "bofi")}
+    assert sorted(r.debit for r in stored.where("filename = 'b.pdf'").collect()) == ["1.50", "2.50", "3.50"]
+    excluded = spark.read.json(str(tmp_path / "logs" / "excluded_files"))
+    assert {r.file for r in excluded.collect()} == {"card.pdf", "empty.pdf"}
+    masked = (tmp_path / "out" / "ibans.json").read_text()
+    assert "IE29" in masked and "93115212" not in masked
+    months = spark.read.json(str(tmp_path / "out" / "reports" / "monthly_summary"))
+    assert {(r.account_suffix, r.month, r.debit_transactions) for r in months.collect()} == {(5678, "2023-01", 5), (5678, "2023-02", 3)}
+
+
 def test_retention(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x")
     assert sink.expired(spark, str(tmp_path), 0).count() == 0
