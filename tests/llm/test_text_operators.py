@@ -186,7 +186,7 @@ def test_base_scores_and_exact_forward(spark, documents):
     rng = random.Random(4)
     texts = [some_text(rng, rng.randrange(30)) for _ in range(120)] + [None, "", "unseen-word here"]
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
-    out = {r.doc_id: r for r in hmm_lm.score(documents(texts), held, states=2, frequent=3, passes=2).collect()}
+    out = {r.doc_id: r for r in hmm_lm.score(documents(texts), held, states=2, least=1, most=3, passes=2).collect()}
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for t in texts]
     known = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     c = Counter(w for t, h in zip(tokens, known) if not h for w in t)
@@ -204,7 +204,7 @@ def test_forward_equals_sum_over_paths_and_training_helps():
     model = hmm_lm.Hmm.first(np.full(5, 0.2), 3)
     texts = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 6, 2)]
     for rows, grid, sizes in hmm_lm.lanes(texts):
-        got = hmm_lm.forward(model, grid, sizes, False)[0]
+        got = hmm_lm.forward(model, grid, sizes)
         for k, i in enumerate(rows):
             alpha = model.start * model.emit[texts[i][0]]
             for x in texts[i][1:]:
@@ -288,13 +288,14 @@ def test_ids_equal_the_library(documents, reference):
 
 
 def test_fold_in_higher_order_functions(spark, reference):
-    words = [b"hello", b" world", b"", b"a", b"naive"]
+    """The whole rank table as a literal: every word gets the library's ids, and its bytes back."""
+    words = [w.encode() for w in ("hello", " world", "", "a", "naive", "antidisestablishmentarianism", " épées", "漢字", "\t\n", "zzxqj" * 4)]
     ranks = bpe.load_ranks(__import__("public_tokenizers").path(bpe.RANKS_FILE))
-    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-    few = {p: ranks[p] for p in parts if p in ranks}
     df = spark.createDataFrame([(bytearray(w),) for w in words], "w binary")
-    got = {bytes(r[0]): r[1] for r in df.select("w", bpe.fold_words(F.col("w"), few)).collect()}
-    assert got == {w: bpe.fold(w, ranks) if w else [] for w in words}
+    folded = df.select("w", bpe.fold_words(F.col("w"), ranks).alias("ids"))
+    rows = folded.select("w", "ids", bpe.decode_words(F.col("ids"), ranks).alias("back")).collect()
+    for r in rows:
+        assert r["ids"] == (bpe.fold(bytes(r.w), ranks) if r.w else []) and bytes(r.back) == bytes(r.w)
 
 
 def test_long_words_fold_the_same():
