@@ -82,8 +82,8 @@ ORACLES: dict[str, str] = {
             SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1
         )
         SELECT page_id, payload_bytes, d.payload_digest,
-               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN first <> page_id THEN first END AS refers_to
+               CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest
     """,
 }

@@ -14,17 +14,22 @@ each turn, keeps the candidates that the chain reaches; record starts that a
 payload merely quotes are never reached. Only offsets and header fields are
 grouped by file. An archive is read as one binary value. The writer rolls
 files so that none holds more than ``FILE_BYTES`` before compression, unless a
-single record does; archives longer than ``ARCHIVE_BYTES`` raise an error.
+single record does; archives longer than ``ARCHIVE_BYTES``, on disk or after
+decompression, raise an error. Compressed members, one or many, are read alike.
 
 Edge cases: null html is an empty payload; a null url is an empty target;
-line breaks in urls become spaces; repeated page rows each get a record;
-an empty table gives empty archives and no records; other columns are ignored.
+line breaks in urls become spaces; repeated page rows each get a record, and
+rows that repeat the smallest page_id of a payload are all responses; a null
+page_id is never referred to unless all pages of a payload have none, which
+then are all responses; an empty table gives empty archives and no records;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +61,7 @@ def records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         .where("n > 1")
         .select("digest", "first")
     )
-    revisits = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    revisits = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     joined = prepared.join(shared, "digest", "left").withColumn("refers", revisits)
     block = F.when(F.col("refers").isNull(), F.concat(F.lit(HTTP), F.col("payload"))).otherwise(F.lit(HTTP))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -154,13 +159,23 @@ def candidates(path: str, content: bytes):
             )
 
 
-def _scan(batches):
-    import gzip
+def unpacked(raw: bytes, most: int) -> bytes:
+    """The bytes of an archive whose gzip members may be many; more than ``most`` of them are an error."""
+    parts, size = [], 0
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(raw, most - size + 1))
+        size += len(parts[-1])
+        if size > most:
+            raise ValueError(f"an archive of more than {most} bytes cannot be read")
+        raw = member.unused_data
+    return b"".join(parts) if parts else raw
+
 
+def _scan(batches):
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            raw = content.as_py()
-            raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            raw = unpacked(content.as_py(), ARCHIVE_BYTES)
             rows = list(candidates(path.as_py(), raw))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_CANDIDATE), _CANDIDATE)], schema=_CANDIDATE)
 
