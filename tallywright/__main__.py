@@ -39,7 +39,7 @@ def run(args: argparse.Namespace) -> int:
         init_directories(args.base_dir, args.with_samples)
         return OK
     spark = SparkSession.builder.appName("tallywright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    words = spark.read.parquet(args.words or args.analyze) if args.words or args.analyze else files.read_words(spark, config.input_dir, config.recursive).where("error is null")
+    words = spark.read.parquet(args.words or args.analyze) if args.words or args.analyze else files.read_words(spark, config.input_dir, config.entitlements.check_recursive(config.recursive)).where("error is null")
     if args.analyze:
         for name, df in engine.analyze(words).items():
             print(name)

@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = "file string, page_no int, word_seq long, text string, x0 double, x1 double, top double, bottom double, error string"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_WORDS = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in WORDS.split(", "))])
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.pdf") -> DataFrame:
-    """(path, filename, length, modificationTime, file_ord) of files in path order; their content is not read."""
+def discover(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.pdf", content: bool = False) -> DataFrame:
+    """(path, filename, length, modificationTime, file_ord) of files; file_ord rises with the path. Content is read only if wanted."""
     local = folder.removeprefix("file:")
     if "://" not in folder:
         if os.path.exists(local) and not os.path.isdir(local):
@@ -24,12 +27,11 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True, pattern:
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
-        .select("path", "length", "modificationTime")
-    )
-    # a list of paths is small: one ordered window over it
-    return found.withColumns(
-        {"filename": F.element_at(F.split("path", "/"), -1), "file_ord": F.row_number().over(Window.orderBy("path"))}
+        .select("path", "length", "modificationTime", *(["content"] if content else []))
     )
+    if content:  # contents are not sorted
+        return found.withColumn("filename", F.element_at(F.split("path", "/"), -1))
+    return found.orderBy("path").withColumns({"filename": F.element_at(F.split("path", "/"), -1), "file_ord": F.monotonically_increasing_id()})
 
 
 def decode_pdf(path: str, content: bytes) -> Iterator[dict]:
@@ -46,25 +48,17 @@ def decode_pdf(path: str, content: bytes) -> Iterator[dict]:
 
 def read_words(spark: SparkSession, folder: str, recursive: bool = True, decode: Callable[[str, bytes], Iterator[dict]] = decode_pdf) -> DataFrame:
     """Words of all files of a folder; a file that fails gives one row with the error and stops nothing."""
-    columns = [c.split()[0] for c in WORDS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column(0), batch.column(1)):
                 try:
-                    rows = list(decode(path, content))
+                    rows = list(decode(path.as_py(), content.as_py()))
                 except Exception as e:  # one bad file must not end the job
-                    rows = [{"file": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=columns)
+                    rows = [{"file": path.as_py(), "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, _WORDS)
 
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.pdf")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .select("path", "content")
-    )
-    return files.mapInPandas(run, WORDS)
+    return discover(spark, folder, recursive, content=True).select("path", "content").mapInArrow(run, WORDS)
 
 
 def store_words(words: DataFrame, folder: str) -> None:
@@ -72,8 +66,9 @@ def store_words(words: DataFrame, folder: str) -> None:
     words.repartition("file").sortWithinPartitions("file", "page_no", "top").write.mode("overwrite").parquet(folder)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame | None:
-    """A JSON file of records; None where there is no file."""
+def read_json(spark: SparkSession, path: str, schema: str = "") -> DataFrame:
+    """A JSON file of records; an empty frame where there is no file."""
     if "://" not in path and not os.path.exists(path):
-        return None
-    return spark.read.option("multiLine", True).json(path)
+        return spark.createDataFrame([], schema or T.StructType())
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)

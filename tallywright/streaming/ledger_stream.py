@@ -7,9 +7,9 @@ cannot keep; each batch therefore meets a stored table of key owners.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +42,11 @@ def deduplicating_sink(owners: str, out: str, key: Callable[[], Column]) -> Call
         spark = batch.sparkSession
         keyed = batch.withColumn("_key", key())
         mine = keyed.groupBy("_key").agg(F.min_by("filename", "ord").alias("_mine"))
-        earlier = [f"{owners}/{n}" for n in os.listdir(owners) if int(n.removeprefix("batch=")) < number] if os.path.isdir(owners) else []
-        if earlier:
-            known = spark.read.parquet(*earlier)
+        try:
+            known = spark.read.parquet(owners).where(F.col("batch") < number)
+        except AnalysisException:  # no batch before
+            known = None
+        if known is not None:
             mine = mine.join(known.select("_key", F.col("owner").alias("_old")), "_key", "left")
         else:
             mine = mine.withColumn("_old", F.lit(None).cast("string"))

@@ -179,6 +179,27 @@ def test_run_with_templates_cards_and_exclusions(spark, tmp_path):
     assert {(r.account_suffix, r.month, r.debit_transactions) for r in months.collect()} == {(5678, "2023-01", 5), (5678, "2023-02", 3)}
 
 
+def test_files_are_found_and_decoded(spark, tmp_path):
+    from tallywright.sources import files
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name in ("b.pdf", "a.pdf", "sub/c.pdf", "note.txt"):
+        (tmp_path / "in" / name).write_text(name)
+
+    def decode(path, content):
+        if content == b"b.pdf":
+            raise ValueError("broken")
+        return iter([{"file": path, "page_no": 1, "word_seq": 0, "text": content.decode(), "x0": 1.0, "x1": 2.0, "top": 3.0, "bottom": 4.0}])
+
+    folder = str(tmp_path / "in")
+    assert [r.filename for r in files.discover(spark, folder).orderBy("file_ord").collect()] == ["a.pdf", "b.pdf", "c.pdf"]
+    assert files.discover(spark, folder, recursive=False).count() == 2
+    rows = files.read_words(spark, folder, decode=decode).collect()
+    assert sorted(r.text for r in rows if r.error is None) == ["a.pdf", "sub/c.pdf"]
+    assert [r.error for r in rows if r.error] == ["ValueError: broken"]
+    assert files.read_json(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_retention(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x")
     assert sink.expired(spark, str(tmp_path), 0).count() == 0
