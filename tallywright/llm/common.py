@@ -8,6 +8,7 @@ import pickle
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,21 @@ def hashed_share(column, size: int, total: int, seed: int = 0) -> Column:
     return turn < min(1.0, size / max(1, total))
 
 
+def least_of_top(counts: DataFrame, column: str, most: int):
+    """The smallest count t for which at most ``most`` rows have t or more, or None where even the largest are too many.
+
+    Read off a histogram in steps of 2^(1/16), so only a few hundred rows reach the driver.
+    """
+    step = F.floor(F.log2(column) * 16).alias("step")
+    held, least = 0, None
+    for _, n, low in sorted(counts.groupBy(step).agg(F.count("*"), F.min(column)).collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = low
+    return least
+
+
 def own_name(name: str, *frames: DataFrame) -> str:
     """A column name like ``name`` that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -105,6 +121,25 @@ def portions(texts: list, limit: int = 2_000_000):
         yield start, len(texts)
 
 
+class Forest:
+    """Union-find that remembers only parents."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node.
 

@@ -2,24 +2,29 @@
 
 The content view knows the text: which words occur (hashed) and how it is
 written (repetition, capitals, symbols). The metadata view knows what a
-crawler records beside the text: source, language, size and layout. Both are
-logistic classifiers. They start from the same labelled documents; in each
-round every view labels the unlabelled pool documents of which it is most
-confident, in the proportion of the labels, and the *other* view learns from
-them. Each view's logit is then calibrated on labelled documents kept out of
-training, a small logistic model combines the two, and the threshold is set
-on the same documents so that at least ``KEEP`` of the good ones stay.
-
-A document is good if its quality is 1 and it isn't marked toxic. The
-classifiers are fitted on at most ``LABELLED`` labelled documents and a pool
-of about ``POOL`` others, both in hash order of doc_id; all documents are
-scored, in one narrow pass.
+crawler records beside the text, source, language and size, and never sees the
+text. Both are logistic classifiers over log-ratios of class shares. They
+start from the same labelled documents; in each round every view labels all
+unlabelled documents of the corpus of which it is confident (``SURE`` by its
+calibrated probability), and the *other* view takes these pseudo-labels into
+its class shares. A round is one narrow pass whose tasks add up counts; only
+sums for each bucket are gathered. A class's pseudo-labels weigh at most as
+much as its labels. Each view's logit is calibrated on labelled documents kept
+out of training, a small logistic model combines the two, and the threshold is
+set on labelled documents kept out of both, so that at least ``KEEP`` of the
+good ones stay.
+
+A document is good if its quality is 1 and it isn't marked toxic; one marked
+toxic is bad even if its quality is null. At most about ``LABELLED`` labelled
+documents are used, chosen by the hash of doc_id; all documents take part in
+the exchange and all are scored.
 
 Edge cases: null and empty texts are scored on their metadata with an empty
 content view; null source, language or size are values of their own; a
 document labelled several times is good only if all its labels agree; without
 labels of both kinds every document scores 0.5 and is kept; repeated rows each
-get a row; other columns are ignored; an empty table gives no rows.
+get a row; documents whose doc_id is null are unlabelled; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,19 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Shared, utf8
+from tallywright.llm.common import Shared, hashed_share, utf8
 
 LABELLED = 12_000
-POOL = 4000
 KEEP = 0.995
-ROUNDS = 3
+ROUNDS = 2
+#: Calibrated probability of a class from which a view hands a document to the other.
+SURE = 0.95
 #: Documents that a bucket needs to count, and the pull of weights to zero.
 LEAST = 5
 PENALTY = 1e-3
-#: Confident pool documents that a view hands to the other in a round, as a share of the pool.
-EXCHANGED = 0.1
 BUCKETS = 1 << 18
-DENSE_CONTENT, DENSE_META = 11, 8
+NAMES = 4096
+DENSE_CONTENT, DENSE_META = 11, 3
 _ENDS = b".,;:!?\"'()"
 
 
@@ -84,22 +89,19 @@ def content_view(text: bytes | None, buckets: Buckets) -> tuple[list[int], list[
     return [buckets[w] for w in kinds], shape
 
 
-def meta_view(source, lang, n_chars, text: bytes | None) -> tuple[list[int], list[float]]:
-    text = text or b""
-    lines = text.count(b"\n") + 1
-    size = n_chars if n_chars is not None and n_chars >= 0 else len(text)
-    level = math.log1p(size)
-    named = [zlib.crc32(f"{k}={v}".encode()) % 4096 for k, v in (("source", source), ("lang", lang), ("size", int(level * 2)), ("none", n_chars is None))]
-    per_line = math.log1p(len(text) / lines)
-    return named, [level / 10, (level / 10) ** 2, math.log1p(lines) / 5, per_line / 6, (per_line / 6) ** 2, float(lines == 1), math.log1p(lines) / max(1, level), 1.0]
+def meta_view(source, lang, n_chars) -> tuple[list[int], list[float]]:
+    level = math.log1p(max(0, n_chars or 0))
+    values = {"source": source, "lang": lang, "size": None if n_chars is None else int(level * 2)}
+    pairs = [*values.items(), ("source and lang", (source, lang)), ("source and size", (source, values["size"]))]
+    return [zlib.crc32(f"{k}={v}".encode()) % NAMES for k, v in pairs], [level / 10, (level / 10) ** 2, 1.0]
 
 
 def _features(batch, buckets):
     """For each row of (doc_id, text, source, lang, n_chars): content and metadata views."""
     texts = utf8(batch.column(1))
     others = [batch.column(k).to_pylist() for k in (2, 3, 4)]
-    for text, source, lang, n_chars in zip(texts, *others):
-        yield content_view(text, buckets), meta_view(source, lang, n_chars, text)
+    for text, *beside in zip(texts, *others):
+        yield content_view(text, buckets), meta_view(*beside)
 
 
 def _feature_pass(batches):
@@ -129,20 +131,25 @@ class View:
     def __init__(self, buckets: int, numbers: int):
         self.sparse, self.dense = np.zeros(buckets), np.zeros(numbers)
 
-    def fit(self, index: np.ndarray, edge: np.ndarray, numbers: np.ndarray, target: np.ndarray, weight: np.ndarray, turns: int = 120) -> "View":
-        """Full-batch gradient steps with Adagrad rates; classes weigh the same."""
+    def fit(self, index: np.ndarray, edge: np.ndarray, numbers: np.ndarray, target: np.ndarray, given: np.ndarray, turns: int = 120) -> "View":
+        """Full-batch gradient steps with Adagrad rates; classes weigh the same.
+
+        ``given`` has the buckets' counts among pseudo-labelled documents of both classes, and their numbers at last.
+        """
         size = len(self.sparse)
         row = np.repeat(np.arange(len(target)), np.diff(edge))
-        seen = np.bincount(index, minlength=size)
-        shares = [
-            (np.bincount(index, weights=(weight * (target == k))[row], minlength=size) + 1) / ((weight * (target == k)).sum() + 2) for k in (0, 1)
-        ]
+        seen, shares = np.zeros(size), []
+        for k in (0, 1):
+            own, n = np.bincount(index, weights=(target == k)[row], minlength=size), (target == k).sum()
+            trust = min(1.0, n / given[k, -1]) if given[k, -1] else 0.0
+            shares.append((own + trust * given[k, :-1] + 1) / (n + trust * given[k, -1] + 2))
+            seen += own + given[k, :-1]
         ratio = np.where(seen >= LEAST, np.log(shares[1] / shares[0]), 0.0)
         known = np.flatnonzero(ratio[index])
         index, row = index[known], row[known]
         place = np.unique(index)  # only what has a say is trained
         at, scale = np.searchsorted(place, index), ratio[place]
-        weight = weight * np.where(target > 0, 0.5 / max(1e-9, weight[target > 0].sum()), 0.5 / max(1e-9, weight[target == 0].sum()))
+        weight = np.where(target > 0, 0.5 / max(1, (target > 0).sum()), 0.5 / max(1, (target == 0).sum()))
         say, seen_sparse, seen_dense = np.zeros(len(place)), np.full(len(place), 1e-8), np.full(len(self.dense), 1e-8)
         for _ in range(turns):
             raw = np.bincount(row, weights=(say * scale)[at], minlength=len(target)) + numbers @ self.dense
@@ -202,69 +209,99 @@ class _Table:
         return index[take], start, numbers[rows]
 
 
-def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    spark = documents.sparkSession
+def _logits_of(model, batch, buckets: Buckets) -> tuple[np.ndarray, list]:
+    """Calibrated logits of both views for each row of a batch, and the rows' features."""
+    logits, rows = np.zeros((batch.num_rows, 2)), []
+    for k, views in enumerate(_features(batch, buckets)):
+        for v, (index, numbers) in enumerate(views):
+            view = model.views[v]
+            raw = view.sparse[index].sum() + np.dot(view.dense, numbers)
+            logits[k, v] = raw * model.calibrated[v][0] + model.calibrated[v][1]
+        rows.append(views)
+    return logits, rows
+
+
+def _exchange_pass(held, labelled):
+    """Rows (view, bucket, bad, good): documents that the other view is sure of, by bucket; bucket -1 counts documents."""
+
+    def run(batches):
+        model, known, buckets = held.value, labelled.value, Buckets()
+        counts = [np.zeros((2, size + 1), dtype=np.int64) for size in (BUCKETS, NAMES)]
+        for batch in batches:
+            logits, rows = _logits_of(model, batch, buckets)
+            p = _sigmoid(logits)
+            taken = np.array([i in known for i in batch.column(0).to_pylist()], dtype=bool)
+            for v in (0, 1):
+                for k, sure in ((0, p[:, v] <= 1 - SURE), (1, p[:, v] >= SURE)):
+                    chosen = np.flatnonzero(sure & ~taken)
+                    found = [b for i in chosen.tolist() for b in rows[i][1 - v][0]]
+                    counts[1 - v][k] += np.bincount(np.array(found, dtype=np.int64), minlength=counts[1 - v].shape[1])
+                    counts[1 - v][k, -1] += len(chosen)
+        for v, (bad, good) in enumerate(counts):
+            at = np.flatnonzero(bad + good)
+            bucket = np.where(at == len(bad) - 1, -1, at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), v, dtype=np.int32)), pa.array(bucket), pa.array(bad[at]), pa.array(good[at])], ["view", "bucket", "bad", "good"]
+            )
+
+    return run
+
+
+def _fields(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", "source", "lang", "n_chars")
+
+
+def truth_of(labels: DataFrame, labelled: int) -> dict:
+    """doc_id -> 1 or 0 of about so many labelled documents at most."""
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
     marks = (
-        labels.where("doc_id is not null and quality is not null")
+        labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | toxic))
         .groupBy("doc_id")
-        .agg((F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))).alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(labelled)
-        .collect()
+        .agg(F.min(F.when((F.coalesce("quality", F.lit(0)) == 1) & ~toxic, 1).otherwise(0)).alias("good"))
     )
-    truth = {r[0]: r[1] for r in marks}
+    return {r[0]: r[1] for r in marks.where(hashed_share("doc_id", labelled, marks.count())).collect()}
+
+
+def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    spark = documents.sparkSession
+    truth = truth_of(labels, labelled)
     if len(set(truth.values())) < 2:
         return None
-    total = max(1, documents.count())
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in truth], "chosen long"))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, pool / total))
-    sample = (
-        documents.select("doc_id", "text", "source", "lang", "n_chars")
-        .join(chosen, F.col("doc_id") == F.col("chosen"), "left")
-        .where(F.col("chosen").isNotNull() | turn)
-        .drop("chosen")
-    )
+    fields = _fields(documents)
+    sample = fields.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi")
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, words array<int>, shape array<double>, named array<int>, layout array<double>"
     table = _Table(sample.mapInArrow(_feature_pass, schema).orderBy("doc_id").toArrow())
-    known = np.array([truth.get(i, -1) for i in table.ids])
-    aside = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in table.ids], dtype=bool) & (known >= 0)
-    learn, free = np.flatnonzero((known >= 0) & ~aside), np.flatnonzero(known < 0)
-    check = np.flatnonzero(aside)
-    if len(set(known[learn].tolist())) < 2 or len(set(known[check].tolist())) < 2:
+    known = np.array([truth[i] for i in table.ids], dtype=np.int64)
+    turn = np.array([zlib.crc32(str(i).encode()) % 8 for i in table.ids], dtype=np.int64)
+    learn, check, last = np.flatnonzero(turn % 4 > 0), np.flatnonzero(turn == 0), np.flatnonzero(turn == 4)
+    if len(set(known[learn].tolist())) < 2 or len(set(known[check].tolist())) < 2 or not known[last].any():
         return None
-    rate = known[learn].mean()
-    given = [{}, {}]  # pool rows that each view was handed, with their pseudo-labels
-    views = []
+    target, truth_check = known[learn].astype(np.float64), known[check].astype(np.float64)
+    given = [np.zeros((2, size + 1)) for size in (BUCKETS, NAMES)]
+    ids = Shared(spark, set(truth))
     for turn_no in range(rounds + 1):
-        views = []
-        for v, (buckets, numbers) in enumerate(((BUCKETS, DENSE_CONTENT), (4096, DENSE_META))):
-            extra = np.array(sorted(given[v]), dtype=np.int64)
-            rows = np.concatenate([learn, extra])
-            target = np.concatenate([known[learn], [given[v][i] for i in extra.tolist()]]).astype(np.float64)
-            weight = np.concatenate([np.ones(len(learn)), np.full(len(extra), 0.3)])
-            views.append(View(buckets, numbers).fit(*table.rows(v, rows), target, weight, 120 if turn_no == rounds else 40))
-        if turn_no == rounds or not len(free):
+        views = [
+            View(size, numbers).fit(*table.rows(v, learn), target, given[v], 120 if turn_no == rounds else 40)
+            for v, (size, numbers) in enumerate(((BUCKETS, DENSE_CONTENT), (NAMES, DENSE_META)))
+        ]
+        calibrated = [_platt(_logits(table, views, v, check)[:, None], truth_check) for v in (0, 1)]
+        if turn_no == rounds:
             break
-        scores = [_logits(table, views, v, free) for v in (0, 1)]
-        spread = [_logits(table, views, v, check) for v in (0, 1)]
+        held = Shared(spark, Model(views, calibrated, None, None))
+        handed = fields.mapInArrow(_exchange_pass(held, ids), "view int, bucket long, bad long, good long")
+        sums = handed.groupBy("view", "bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+        view, bucket, *both = (sums.column(k).to_numpy() for k in range(4))
+        given = [np.zeros((2, size + 1)) for size in (BUCKETS, NAMES)]
         for v in (0, 1):
-            fit = _platt(spread[v][:, None], known[check].astype(float))
-            p = _sigmoid(scores[v] * fit[0] + fit[1])
-            n = int(len(free) * EXCHANGED)
-            order = np.argsort(p, kind="stable")
-            bad, good = order[: int(n * (1 - rate)) + 1], order[len(order) - int(n * rate) - 1 :]
-            for i in bad[p[bad] < 0.1]:
-                given[1 - v].setdefault(int(free[i]), 0)
-            for i in good[p[good] > 0.9]:
-                given[1 - v].setdefault(int(free[i]), 1)
-    target = known[check].astype(np.float64)
-    logits = [_logits(table, views, v, check) for v in (0, 1)]
-    calibrated = [_platt(x[:, None], target) for x in logits]
-    both = np.column_stack([x * c[0] + c[1] for x, c in zip(logits, calibrated)])
-    combined = _platt(both, target)
-    p = _sigmoid(both @ combined[:-1] + combined[-1])
-    threshold = min(0.5, float(np.quantile(p[target == 1], 1 - KEEP)))
+            for k in (0, 1):
+                given[v][k, bucket[view == v]] = both[k][view == v]  # bucket -1 is the last place
+    both = np.column_stack([_logits(table, views, v, check) * c[0] + c[1] for v, c in enumerate(calibrated)])
+    combined = _platt(both, truth_check)
+    rest = np.column_stack([_logits(table, views, v, last) * c[0] + c[1] for v, c in enumerate(calibrated)])
+    p = _sigmoid(rest @ combined[:-1] + combined[-1])
+    threshold = min(0.5, float(np.quantile(p[known[last] == 1], 1 - KEEP)))
     return Model(views, calibrated, combined, threshold)
 
 
@@ -281,12 +318,7 @@ def _score_pass(held):
                 half = np.full(batch.num_rows, 0.5)
                 columns = [half, half, half, np.ones(batch.num_rows, dtype=bool)]
             else:
-                logits = np.zeros((batch.num_rows, 2))
-                for k, views in enumerate(_features(batch, buckets)):
-                    for v, (index, numbers) in enumerate(views):
-                        view = model.views[v]
-                        raw = view.sparse[index].sum() + np.dot(view.dense, numbers)
-                        logits[k, v] = raw * model.calibrated[v][0] + model.calibrated[v][1]
+                logits, _ = _logits_of(model, batch, buckets)
                 score = _sigmoid(logits @ model.combined[:-1] + model.combined[-1])
                 columns = [_sigmoid(logits[:, 0]), _sigmoid(logits[:, 1]), score, score >= model.threshold]
             yield pa.RecordBatch.from_arrays(
@@ -296,12 +328,12 @@ def _score_pass(held):
     return run
 
 
-def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """(doc_id, p_content, p_meta, score, kept) for every document."""
-    model = train(documents, labels, labelled, pool)
+    model = train(documents, labels, labelled)
     held = Shared(documents.sparkSession, model)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(
+    return _fields(documents).mapInArrow(
         _score_pass(held), f"doc_id {kind}, p_content double, p_meta double, score double, kept boolean"
     )
 
@@ -318,9 +350,9 @@ def _filter_pass(held, columns: list[str]):
     return run
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """The documents that the classifier keeps, with all their columns, in one narrow pass."""
-    held = Shared(documents.sparkSession, train(documents, labels, labelled, pool))
+    held = Shared(documents.sparkSession, train(documents, labels, labelled))
     plain = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
     return plain.mapInArrow(_filter_pass(held, documents.columns), plain.schema).toDF(*documents.columns)
 

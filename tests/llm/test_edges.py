@@ -118,3 +118,142 @@ def test_repeated_rows_and_null_ids(spark, documents):
     scored = hmm_lm.score(df, F.lit(False)).collect()
     assert len(scored) == 6 and len({round(r.score, 6) for r in scored if r.n_tokens == 6}) == 1
     assert langid.identify(df, df).count() == 6
+
+
+def plain_forward(model, symbols):
+    """log10 probability by the unscaled recursion."""
+    alpha = model.start * model.emit[symbols[0]]
+    for x in symbols[1:]:
+        alpha = (alpha @ model.move) * model.emit[x]
+    return np.log10(alpha.sum())
+
+
+def test_scores_are_the_models_probabilities(spark, documents, monkeypatch):
+    """End to end: the score of each text is that of the trained model, rare words by their shares of their classes."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "blue", "green", "sea", "sky"]) for _ in range(rng.randrange(0, 9))) for _ in range(40)] + [None, "one rare", "two rare two"]
+    seen, train = {}, hmm_lm.train
+    monkeypatch.setattr(hmm_lm, "train", lambda *a: seen.setdefault("model", train(*a)))
+    df = documents(texts)
+    got = {r.doc_id: r for r in hmm_lm.score(df, F.col("doc_id") % 7 == 1, states=3, least=4, passes=2).collect()}
+    model = seen["model"]
+    assert model.emit.sum(axis=0) == pytest.approx(np.ones(3)) and model.move.sum(axis=1) == pytest.approx(np.ones(3))
+    words = [(t or "").encode().split() for t in texts]
+    count = {}
+    for i, w in enumerate(words):
+        for x in w if i % 7 != 1 else ():
+            count[x] = count.get(x, 0) + 1
+    frequent = sorted((x for x in count if count[x] >= 4), key=hmm_lm.word_key)
+    assert len(model.emit) == hmm_lm.CLASSES + 1 + len(frequent)
+    mass = {}
+    for x in count:
+        if count[x] < 4:
+            c = hmm_lm.word_class(x)
+            mass[c] = mass.get(c, 0.5) + count[x] + 0.5
+    for i, w in enumerate(words):
+        symbols = [hmm_lm.CLASSES + 1 + frequent.index(x) if x in frequent else hmm_lm.word_class(x) for x in w] + [hmm_lm.CLASSES]
+        rare = sum(np.log10((count.get(x, 0) + 0.5) / mass.get(hmm_lm.word_class(x), 0.5)) for x in w if x not in frequent)
+        assert got[i].score == pytest.approx(plain_forward(model, symbols) + rare, abs=1e-6)
+
+
+def test_stretches_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = hmm_lm.Hmm.first(np.full(6, 1 / 6), 3)
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 37, 64, 9, 50)]
+    whole = hmm_lm.expected(model, texts)
+    monkeypatch.setattr(hmm_lm, "_STRETCH", 8)
+    for a, b in zip(whole, hmm_lm.expected(model, texts)):
+        assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("hot, fan", [(20_000, 2), (1, 3)])
+def test_suffix_shards_dealt_several_times(documents, hot, fan):
+    from test_text_operators import brute_repeats
+
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared = [fresh(rng.randrange(100, 300)) for _ in range(5)]
+    texts = [fresh(rng.randrange(120)) + rng.choice(shared) + fresh(rng.randrange(120)) for _ in range(40)] + ["=" * 500, "=" * 130]
+    out = suffix_dedup.remove_repeats(documents(texts).repartition(4), hot=hot, shard_bytes=1000, fan=fan)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute_repeats(texts)
+
+
+def test_suffixes_of_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdef") for _ in range(300)) for _ in range(2))
+    df = spark.createDataFrame([(5, a), (5, a), (5, b), (7, a + b), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(0, 300, 0), (5, 300, 0), (5, 300, 0), (5, 300, 0), (7, 600, 600)]
+
+
+def test_recall_of_the_traversal(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 64))
+    noise = rng.normal(size=(1500, 64))
+    spread = rng.choice([0.05, 0.15, 0.22, 0.3], 1500)[:, None]
+    vectors = centres[rng.integers(0, 150, 1500)] + noise * spread
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in multi_index.near_vectors(df, occupancy=4).collect()}
+    unit = multi_index.units(vectors.astype(np.float32))
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(vectors))])
+    assert true.sum() > 2000 and (found <= true).all() and found.sum() >= 0.999 * true.sum()
+
+
+def test_exchange_by_a_plain_loop(spark, monkeypatch):
+    """Co-training, each document and bucket by itself: what the views hand to each other."""
+    from test_other_operators import quality_corpus
+
+    docs, labels = quality_corpus(spark)
+    fits, curves, fit, platt = [], [], cotrain.View.fit, cotrain._platt
+
+    def spy_fit(self, index, edge, numbers, target, given, turns=120):
+        fits.append((self, given.copy()))
+        return fit(self, index, edge, numbers, target, given, turns)
+
+    def spy_platt(*a, **k):
+        curves.append(platt(*a, **k))
+        return curves[-1]
+
+    monkeypatch.setattr(cotrain.View, "fit", spy_fit)
+    monkeypatch.setattr(cotrain, "_platt", spy_platt)
+    cotrain.train(docs, labels, rounds=1)
+    truth = cotrain.truth_of(labels, cotrain.LABELLED)
+    want = [{}, {}]
+    for r in docs.collect():
+        if r.doc_id in truth:
+            continue
+        views = cotrain.content_view(None if r.text is None else r.text.encode(), cotrain.Buckets()), cotrain.meta_view(r.source, r.lang, r.n_chars)
+        for v, (buckets, numbers) in enumerate(views):
+            raw = sum(fits[v][0].sparse[b] for b in buckets) + sum(a * b for a, b in zip(fits[v][0].dense, numbers))
+            p = 1 / (1 + np.exp(-(raw * curves[v][0] + curves[v][1])))
+            if p <= 0.05 or p >= 0.95:
+                k = int(p >= 0.5)
+                for b in [*views[1 - v][0], -1]:
+                    want[1 - v][k, b] = want[1 - v].get((k, b), 0) + 1
+    for v in (0, 1):
+        got = fits[2 + v][1]
+        found = {(k, b if b < got.shape[1] - 1 else -1): int(got[k, b]) for k, b in zip(*np.nonzero(got))}
+        assert found == want[v]
+    assert want[1]  # the content view is sure of some
+
+
+def test_archives_of_null_and_repeated_pages(spark, tmp_path):
+    body = "<p>" + "x" * 200 + "WARC/1.1\r\n\r\n" + "</p>"
+    rows = [(None, "http://a", body, "s"), (3, None, body, "s"), (3, "http://c\n", body, "s"), (5, "http://d", body, "s"), (6, "http://e", None, "s"), (7, "http://f", "short", "s"), (None, "http://g", "y" * 300, "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string")
+    warc.write_archives(pages, str(tmp_path / "w"), compression="gzip")
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    kinds = sorted((r.page_id, r.record_type, r.refers_to) for r in got)
+    assert kinds == sorted([("", "revisit", "3"), ("3", "response", ""), ("3", "response", ""), ("5", "revisit", "3"), ("6", "response", ""), ("7", "response", ""), ("", "response", "")])
+    assert warc.read_archives(spark, str(tmp_path / "w")).where("payload_bytes = 0").count() == 1
+
+
+def test_archives_of_several_members_and_too_large_ones():
+    import gzip
+
+    parts = [b"first", b"second" * 1000]
+    assert warc.unpacked(b"".join(map(gzip.compress, parts)), 10_000) == b"".join(parts)
+    assert warc.unpacked(b"plain", 10) == b"plain"
+    with pytest.raises(ValueError):
+        warc.unpacked(gzip.compress(bytes(5000)), 4999)
