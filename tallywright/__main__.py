@@ -31,6 +31,7 @@ def init_directories(base: str, samples: bool = False) -> list[str]:
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
+    from tallywright.operators import documents
     from tallywright.plans import engine
     from tallywright.sources import files, templates
 
@@ -41,9 +42,13 @@ def run(args: argparse.Namespace) -> int:
     spark = SparkSession.builder.appName("tallywright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     words = spark.read.parquet(args.words or args.analyze) if args.words or args.analyze else files.read_words(spark, config.input_dir, config.entitlements.check_recursive(config.recursive)).where("error is null")
     if args.analyze:
-        for name, df in engine.analyze(words).items():
+        found = engine.analyze(words, pages=documents.first_pages(words))
+        for name, df in found.items():
             print(name)
             df.show(20, False)
+        if args.save_template:
+            name = os.path.splitext(os.path.basename(args.save_template))[0]
+            engine.save_template(engine.synthesise_template(found, name), args.save_template)
         return OK
     chosen = templates.load_folders([args.templates]) if args.templates else None
     print(json.dumps(engine.Engine(spark, config).run(words, templates=chosen), default=str, indent=2))
@@ -58,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--words", help="Parquet of positioned words; else PDFs of INPUT_DIR are decoded")
     parser.add_argument("--templates", help="folder of template files; each document is read by the one that fits it")
     parser.add_argument("--analyze", help="Parquet of positioned words to analyse")
+    parser.add_argument("--save-template", help="with --analyze: where the template that follows from the analysis goes")
     parser.add_argument("--version", action="version", version="tallywright 0.1")
     args = parser.parse_args(argv)
     try:

@@ -77,22 +77,41 @@ def iban_ledger(files: DataFrame) -> DataFrame:
     return files.where("iban is not null").select("filename", iban.mask_iban(F.col("iban")).alias("masked"), F.sha2("iban", 256).alias("digest"))
 
 
-def analyze(words: DataFrame, height: float = 842.0) -> dict[str, DataFrame]:
-    """Layout analysis: tables, account numbers outside them, columns, multi-line dates and an estimate."""
-    tables = layout.keep_tall(layout.text_tables(words))
+def analyze(words: DataFrame, height: float = 842.0, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Layout analysis: tables, account numbers outside them, columns inside them, multi-line dates and an estimate.
+
+    Where ``pages`` are given, a page without a number among its words is searched as a text.
+    """
+    tables = layout.text_tables(words)
     largest = layout.largest_table(tables)
     numbers = layout.iban_candidates(words)
+    if pages is not None:
+        numbers = layout.candidates_or_text(numbers, pages, 595.0, height)
     outside = layout.outside_tables(numbers, layout.expand_tables(largest))
+    bounds = largest.select("file", "page_no", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    inside = words.join(bounds, ["file", "page_no"]).where("top >= _y0 and bottom <= _y1 and x0 >= _x0 and x1 <= _x1").drop("_x0", "_y0", "_x1", "_y1")
     return {
         "tables": largest,
         "ibans": layout.best_candidate(layout.score_candidates(outside, height)),
-        "header_columns": layout.header_columns(words),
-        "cluster_columns": layout.cluster_boundaries(layout.x_clusters(words)),
-        "multiline": layout.multiline_dates(words),
+        "header_columns": layout.header_columns(inside),
+        "cluster_columns": layout.cluster_boundaries(layout.x_clusters(inside)),
+        "multiline": layout.multiline_dates(inside),
         "estimate": layout.estimated_rows(tables),
     }
 
 
+def synthesise_template(found: Mapping[str, DataFrame], name: str) -> dict:
+    """A template from the first table of an analysis: columns of its header, or of clusters where it has less than two; the default layout without a table."""
+    table = found["tables"].orderBy("file", "page_no").first()
+    if table is None:
+        return minimal_template(name)
+    here = (F.col("file") == table["file"]) & (F.col("page_no") == table["page_no"])
+    columns = [found[kind].where(here).orderBy("x_min").collect() for kind in ("header_columns", "cluster_columns")]
+    chosen = columns[0] if len(columns[0]) >= 2 else columns[1]
+    number = found["ibans"].where(F.col("file") == table["file"]).first()
+    return make_template(name, number["iban"][:2] if number else None, {r["name"]: (r["x_min"], r["x_max"]) for r in chosen}, table["y0"], table["y1"])
+
+
 def make_template(name: str, country: str | None, columns: Mapping[str, tuple], top: float, bottom: float) -> dict:
     """A template from an analysis, edges rounded."""
     return {

@@ -179,6 +179,18 @@ def test_run_with_templates_cards_and_exclusions(spark, tmp_path):
     assert {(r.account_suffix, r.month, r.debit_transactions) for r in months.collect()} == {(5678, "2023-01", 5), (5678, "2023-02", 3)}
 
 
+def test_analysis_makes_a_template(spark, tmp_path):
+    head = (290, [(30, "Date"), (80, "Details"), (260, "Debit"), (320, "Credit"), (380, "Balance")])
+    number = (50, [(30, "IBAN:"), (70, "IE29AIBK93115212345678")])
+    df = spark.createDataFrame(words_of(number, head, first=-100) + statement(), WORD)
+    made = engine.synthesise_template(engine.analyze(df, pages=documents.first_pages(df)), "My Bank")
+    assert made["id"] == "my_bank" and made["detection"]["iban_patterns"] == ["^IE\\d{2}.*"]
+    assert list(made["extraction"]["columns"]) == ["Date", "Details", "Debit", "Credit", "Balance"]
+    assert (made["extraction"]["table_top_y"], made["extraction"]["table_bottom_y"]) == (285, 590)
+    assert templates.parse_template(made)["id"] == "my_bank"
+    assert engine.synthesise_template(engine.analyze(df.limit(0)), "None")["extraction"]["columns"]
+
+
 def test_files_are_found_and_decoded(spark, tmp_path):
     from tallywright.sources import files
 
