@@ -21,12 +21,16 @@ doubling. Neighbours whose common prefix has ``length`` bytes are equal
 windows; the earliest of them stays, the others go.
 
 An owner with more than ``HOT`` occurrences may stand in as many distinct
-segments; its windows go to shards one by one, by their own hash.
+segments; its windows get owners anew, by a second hash, which deals them out
+by what stands around the hot string. A batch makes at most ``FAN`` packs;
+where there are more shards, packs of many shards are dealt again, ``FAN``
+ways each time, until each holds one shard.
 
 Edge cases: a null text is empty; texts shorter than ``length`` stay whole;
-an empty table gives no rows; doc_id identifies a document, and rows that
-repeat one are taken to repeat its text; a row whose doc_id is null is neither
-searched nor cut; other columns are ignored.
+an empty table gives no rows; rows that repeat a doc_id and its text are one
+document and get the same result; different texts of one doc_id are documents
+in the order of their hashes; a row whose doc_id is null is neither searched
+nor cut; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,18 +43,24 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch, utf8
+from tallywright.llm.common import Scratch, portions, utf8
 from tallywright.llm.suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 100
 GRAM = 20
 HOT = 20_000
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
+FAN = 1024
+#: Keys of hot owners that are broadcast at most, and bytes of text that a worker cuts at a time.
+HOT_KEYS = 1_000_000
+SLICE_BYTES = 16_000_000
 _P = 0x100000001B3
 _PLACES = 1 << 19
+#: Changes the hash by which the windows of hot owners are dealt.
+SECOND = 0x5851F42D4C957F2D
 
 
-def rolling(data: np.ndarray, width: int) -> np.ndarray:
+def rolling(data: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of every run of ``width`` bytes."""
     power = data.astype(np.uint64) + np.uint64(1)
     done, value, size = None, power, 1
@@ -68,12 +78,12 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
         if left:
             value = value[:-size] * np.uint64(pow(_P, size, 1 << 64)) + value[size:]
             size *= 2
-    done = done ^ (done >> np.uint64(32))
+    done = done ^ (done >> np.uint64(32)) ^ np.uint64(salt)
     done *= np.uint64(0xD6E8FEB86659FD93)
     return done ^ (done >> np.uint64(32))
 
 
-def owners(data: np.ndarray, length: int, gram: int):
+def owners(data: np.ndarray, length: int, gram: int, salt: int = 0):
     """(owner hash, first window, windows) of each run of windows with one owner.
 
     An owner is a place: the leftmost of the smallest hashes in the window.
@@ -82,7 +92,7 @@ def owners(data: np.ndarray, length: int, gram: int):
     for at in range(0, len(data) - length + 1, _PLACES):
         part = data[at : at + _PLACES + length - 1]
         span = length - gram + 1
-        low, size = rolling(part, gram), 1
+        low, size = rolling(part, gram, salt), 1
         low = (low & ~np.uint64(_PLACES * 2 - 1)) | np.arange(len(low), dtype=np.uint64)
         n = len(low) - span + 1
         while size * 2 <= span:
@@ -125,10 +135,15 @@ def _owner_pass(length: int, gram: int):
 
 
 def _pack(batches):
+    """(doc_id, doc, packed, size): texts compressed for their way through a shuffle."""
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [press.compress(t or b"") for t in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+        texts = utf8(batch.column(2))
+        packed = [press.compress(t or b"") for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64())],
+            ["doc_id", "doc", "packed", "size"],
+        )
 
 
 def _merged(rows: list[tuple]) -> list[tuple]:
@@ -142,68 +157,98 @@ def _merged(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-_SEGMENT = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+_SEGMENT = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+
+
+def _packed(held: dict) -> pa.RecordBatch:
+    """Distinct segments as one compressed pack for each bucket of ``held``: bucket -> text -> (doc, lo, n, shard)."""
+    packs = []
+    for segments in held.values():
+        table = pa.RecordBatch.from_arrays(
+            [pa.array([v[k] for v in segments.values()], pa.int64()) for k in (3, 0, 1, 2)] + [pa.array(list(segments), pa.binary())], schema=_SEGMENT
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _SEGMENT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(table)
+        packs.append(sink.getvalue().to_pybytes())
+    return _rows(list(held), packs, [])
+
+
+def _rows(buckets: list, packs: list, late: list[tuple]) -> pa.RecordBatch:
+    """Rows of packs, and rows of windows that are settled."""
+    n, m = len(packs), len(late)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*buckets, *[None] * m], pa.int64()), pa.array([*packs, *[None] * m], pa.binary())]
+        + [pa.array([*[None] * n, *(r[k] for r in late)], pa.int64()) for k in range(3)],
+        ["shard", "pack", "doc", "lo", "n"],
+    )
+
+
+def _unpacked(pack: bytes):
+    part = pa.ipc.open_stream(pack).read_all()
+    return zip(*(c.to_pylist() for c in part.columns))
 
 
-def _keep_first(held: dict, text: bytes, doc: int, lo: int, n: int, late: list) -> None:
+def _keep_first(held: dict, text: bytes, doc: int, lo: int, n: int, late: list, shard: int = 0) -> None:
     """The earliest place of a segment stays in ``held``; all windows of a later one repeat it."""
     old = held.get(text)
     if old is None or (doc, lo) < old[:2]:
-        held[text] = (doc, lo, n)
+        held[text] = (doc, lo, n, shard)
         if old is not None and old[:2] != (doc, lo):
-            late.append(old)
+            late.append(old[:3])
     elif old[:2] != (doc, lo):
         late.append((doc, lo, n))
 
 
-def _segment_pass(length: int, gram: int, shards: int):
-    """Repeats settled within the batch as (doc, lo, n), distinct segments as packs for their shards."""
+def _segment_pass(length: int, gram: int, shards: int, width: int):
+    """Repeats settled within the batch as (doc, lo, n), distinct segments as packs for buckets of ``width`` shards."""
 
     def run(batches):
-        for batch in batches:
-            inflate = zstandard.ZstdDecompressor()
-            late: list[tuple] = []
-            held: list[dict] = [{} for _ in range(shards)]
-            for doc, packed, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = inflate.decompress(packed)
-                if len(text) < length:
-                    continue
-                data = np.frombuffer(text, np.uint8)
-                key, first, size = owners(data, length, gram)
-                single = None
-                for code in set(runs):
-                    at, hot = code >> 1, code & 1
-                    if at >= len(key):
+        inflate = zstandard.ZstdDecompressor()
+        for whole in batches:
+            sizes = whole.column(3).to_pylist()
+            for at, stop in portions([range(n) for n in sizes], SLICE_BYTES):
+                batch = whole.slice(at, stop - at)
+                late: list[tuple] = []
+                held: dict[int, dict] = {}
+
+                def add(owner: int, segment: bytes, doc: int, lo: int, n: int) -> None:
+                    shard = owner % shards
+                    _keep_first(held.setdefault(shard // width, {}), segment, doc, lo, n, late, shard)
+
+                for doc, packed, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    text = inflate.decompress(packed)
+                    if len(text) < length:
                         continue
-                    lo, n = int(first[at]), int(size[at])
-                    if not hot:
-                        _keep_first(held[int(key[at]) % shards], text[lo : lo + n + length - 1], doc, lo, n, late)
-                        continue
-                    single = rolling(data, length) if single is None else single
-                    for start in range(lo, lo + n):
-                        _keep_first(held[int(single[start]) % shards], text[start : start + length], doc, start, 1, late)
-            rows = _merged(late)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
-                + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)],
-                ["shard", "pack", "doc", "lo", "n"],
-            )
-            packs = []
-            for shard, segments in enumerate(held):
-                if segments:
-                    table = pa.RecordBatch.from_arrays(
-                        [pa.array([v[k] for v in segments.values()], pa.int64()) for k in range(3)] + [pa.array(list(segments), pa.binary())],
-                        schema=_SEGMENT,
-                    )
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, _SEGMENT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(table)
-                    packs.append((shard, sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in packs], pa.int32()), pa.array([p[1] for p in packs], pa.binary())]
-                + [pa.nulls(len(packs), pa.int64())] * 3,
-                ["shard", "pack", "doc", "lo", "n"],
-            )
+                    key, first, size = owners(np.frombuffer(text, np.uint8), length, gram)
+                    for code in set(runs):
+                        k, hot = code >> 1, code & 1
+                        lo, n = int(first[k]), int(size[k])
+                        segment = text[lo : lo + n + length - 1]
+                        if not hot:
+                            add(int(key[k]), segment, doc, lo, n)
+                            continue
+                        for owner, begin, windows in zip(*(x.tolist() for x in owners(np.frombuffer(segment, np.uint8), length, gram, SECOND))):
+                            add(owner, segment[begin : begin + windows + length - 1], doc, lo + begin, windows)
+                yield _rows([], [], _merged(late))
+                yield _packed(held)
+
+    return run
+
+
+def _deal_pass(width: int):
+    """Packs of many shards as packs of ``width`` shards; segments that meet here are settled."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, FAN):
+                held: dict[int, dict] = {}
+                late: list[tuple] = []
+                for pack in batch.column(1).slice(at, FAN):
+                    for shard, doc, lo, n, text in _unpacked(pack.as_py()):
+                        _keep_first(held.setdefault(shard // width, {}), text, doc, lo, n, late, shard)
+                yield _rows([], [], _merged(late))
+                yield _packed(held)
 
     return run
 
@@ -218,7 +263,7 @@ def repeats(segments: dict, length: int) -> list[tuple]:
     s = np.append(joined, 0)
     order = suffix_array(s, 258)
     prefix = permuted_lcp(s, order)
-    place = np.array(list(segments.values()), dtype=np.int64)
+    place = np.array([v[:3] for v in segments.values()], dtype=np.int64)
     segment = np.repeat(np.arange(len(texts)), sizes)
     offset = np.arange(len(segment)) - np.repeat(begin, sizes)
     window = np.append(offset < place[segment, 2], False)
@@ -243,8 +288,7 @@ def _shard_pass(length: int):
         held: dict = {}
         late: list[tuple] = []
         for pack in table.column("pack"):
-            part = pa.ipc.open_stream(pack.as_py()).read_all()
-            for doc, lo, n, text in zip(*(c.to_pylist() for c in part.columns)):
+            for _, doc, lo, n, text in _unpacked(pack.as_py()):
                 _keep_first(held, text, doc, lo, n, late)
         rows = _merged(late + repeats(held, length))
         return pa.table({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("doc", "lo", "n"))})
@@ -283,43 +327,63 @@ def _cut_pass(length: int):
     return run
 
 
+def _placed(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, doc, text); doc counts documents in the order of doc_id, and is doc_id unless ids repeat."""
+    rows = documents.select("doc_id", F.col("doc_id").cast("long").alias("doc"), "text")
+    if rows.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
+        return rows
+    mark = F.xxhash64("text")
+    known = rows.where("doc is not null").select(F.col("doc").alias("id"), mark.alias("mark")).distinct()
+    # sorted ranges are numbered one after the other, so the numbers rise with the order
+    order = scratch.keep(known.orderBy("id", "mark").withColumn("place", F.monotonically_increasing_id()), "order")
+    return rows.join(order, (F.col("doc") == F.col("id")) & (mark == F.col("mark")), "left").select("doc_id", F.col("place").alias("doc"), "text")
+
+
 def remove_repeats(
-    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES
+    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, fan: int = FAN
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = _placed(documents, scratch)
+    known = every.where("doc is not null").select("doc", "text")
     rows = scratch.keep(known.mapInArrow(_owner_pass(length, gram), "key long, doc long, run int, role byte, n long"), "owners")
     # rows of one key: at most one from each batch; the occurrences that a batch already saw twice need no count
-    counts = rows.where("role < 2").withColumn("total", F.expr("sum(n) over (partition by key)")).where("total > 1")
-    hot_keys = rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("key", F.lit(1).alias("hot"))
-    hottest = rows.where("role = 1").agg(F.max("n")).first()[0]
-    further = rows.where("role = 2")
-    if hottest is not None:
-        further = further.join(hot_keys, "key", "left").select("doc", "run", F.coalesce("hot", F.lit(0)).alias("hot"))
-    else:
-        further = further.select("doc", "run", F.lit(0).alias("hot"))
-    repeated = counts.select("doc", "run", (F.col("total") > hot).cast("int").alias("hot")).unionByName(further)
+    totals = scratch.keep(rows.where("role < 2").groupBy("key").agg(F.sum("n").alias("total")).where("total > 1"), "totals")
+    firsts = rows.where("role < 2").join(totals, "key").select("doc", "run", (F.col("total") > hot).cast("int").alias("hot"))
+    hot_keys = totals.where(F.col("total") > hot).select("key", F.lit(1).alias("hot"))
+    hottest, further = hot_keys.count(), rows.where("role = 2")
+    if hottest:
+        further = further.join(F.broadcast(hot_keys) if hottest <= HOT_KEYS else hot_keys, "key", "left")
+    further = further.select("doc", "run", F.coalesce("hot", F.lit(0)).alias("hot") if hottest else F.lit(0).alias("hot"))
+    repeated = firsts.unionByName(further)
     per_doc = scratch.keep(
         repeated.groupBy("doc").agg(F.collect_list((F.col("run") * 2 + F.col("hot")).cast("int")).alias("runs")), "repeated"
     )
     volume = per_doc.agg(F.sum(F.size("runs"))).first()[0] or 0
     shards = max(1, int(volume * (length + length // 2) // (4 * shard_bytes)))
-    packed = known.mapInArrow(_pack, "doc_id long, packed binary")
-    met = packed.join(per_doc, packed["doc_id"] == per_doc["doc"]).select("doc_id", "packed", "runs")
-    found = scratch.keep(
-        met.mapInArrow(_segment_pass(length, gram, shards), "shard int, pack binary, doc long, lo long, n long"), "segments"
-    )
+    fields = "doc long, packed binary, size long"
+    packed = known.select(F.col("doc").alias("doc_id"), "doc", "text").mapInArrow(_pack, f"doc_id long, {fields}")
+    met = packed.join(per_doc, "doc").select("doc", "packed", "runs", "size")
+    kinds = "shard long, pack binary, doc long, lo long, n long"
+    width = -(-shards // fan)
+    found = scratch.keep(met.mapInArrow(_segment_pass(length, gram, shards, width), kinds), "segments")
+    late = found.where("shard is null")
+    while width > 1:
+        # a bucket's packs go to as many tasks as finer packs it is dealt into
+        width = -(-width // fan)
+        dealt = found.where("shard is not null").repartition("shard", F.pmod(F.xxhash64("pack"), F.lit(fan))).mapInArrow(_deal_pass(width), kinds)
+        found = scratch.keep(dealt, f"segments-{width}")
+        late = late.unionByName(found.where("shard is null"))
     sorted_out = (
         found.where("shard is not null").select("shard", "pack").groupBy("shard").applyInArrow(_shard_pass(length), "doc long, lo long, n long")
     )
-    late = found.where("shard is null").select("doc", "lo", "n").unionByName(sorted_out)
+    late = late.select("doc", "lo", "n").unionByName(sorted_out)
     windows = late.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("windows"))
-    whole = documents.select("doc_id", "text").mapInArrow(_pack, f"doc_id {kind}, packed binary")
+    whole = every.mapInArrow(_pack, f"doc_id {kind}, {fields}")
     return (
-        whole.join(windows, whole["doc_id"] == windows["doc"], "left")
+        whole.join(windows, "doc", "left")
         .select("doc_id", "packed", "windows")
         .mapInArrow(
             _cut_pass(length),
