@@ -3,9 +3,11 @@
 A fingerprint has 64 bits, from the XXH64 (seed 42) of a text's word shingles,
 repeats included. Equal fingerprints are one node from the start, so groups
 of exact copies never meet each other. Distinct fingerprints are cut into
-shards by the upper levels of a vantage-point tree whose vantage points and
-radii come from a bounded sample (at most ``SAMPLE`` fingerprints, in hash
-order); every fingerprint is routed and indexed. At each branch the triangle
+shards by the upper levels of a vantage-point tree. Its vantage points and
+radii come from samples of about ``SAMPLE`` fingerprints: one of all, then, as
+long as a leaf stands for more than ``SHARD`` rows, one of each such leaf,
+planted by the tasks; the tree that is broadcast has one leaf for about
+``SHARD`` fingerprints. Every fingerprint is routed and indexed. At each branch the triangle
 inequality tells which sides a ball of radius ``distance`` can touch: only
 those shards are queried, with one copy of the row each, and a pair that
 straddles a boundary is met from its inner side. Each shard repeats the same
@@ -13,6 +15,12 @@ division in memory until its parts are small, compares what is left exactly,
 and hands on a spanning forest of its links, at most one edge per row. The
 components of all edges follow from distributed star rounds.
 
+``similar_documents`` links by the Jaccard similarity of five-word shingle
+sets, 4/5 or more, in place of a number of bits. At that similarity
+fingerprints are expected to differ in ten bits, a radius at which a tree over
+64 bits no longer divides. The tree therefore gives the close pairs, which
+whole sets confirm, and ``shingle_join`` finds the rest exactly.
+
 Edge cases: null, empty and all-space texts have fingerprint zero and link
 like others; a text of one or two words is one shingle; repeated rows share a
 component; a row whose doc_id is null has no component and links nothing; an
@@ -21,7 +29,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import Scratch, connected_components, utf8
+from tallywright.llm import shingle_join
+from tallywright.llm.common import Forest, Scratch, Shared, connected_components, hashed_share, utf8
 
 SHINGLE = 3
 DISTANCE = 2
 SAMPLE = 8192
 SHARD = 32_768
 LEAF = 96
+#: Sampled points that a leaf needs to be divided.
+LEAST = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -86,15 +97,28 @@ def divide(points: np.ndarray, reach: int):
     return best[1:] if best else None
 
 
-def plant(sample: np.ndarray, depth: int, reach: int):
-    """Upper tree: ("leaf",) or (vantage, mu, inside, outside)."""
-    if depth == 0 or len(sample) < 16:
+def plant(sample: np.ndarray, weight: float, reach: int):
+    """Upper tree: ("leaf",) or (vantage, mu, inside, outside). A sampled point stands for ``weight`` rows; leaves of a shard's size or of few points stay."""
+    if len(sample) < LEAST or len(sample) * weight <= SHARD:
         return ("leaf",)
     cut = divide(sample, reach)
     if cut is None:
         return ("leaf",)
     inside = distances(sample, cut[0]) <= cut[1]
-    return (*cut, plant(sample[inside], depth - 1, reach), plant(sample[~inside], depth - 1, reach))
+    return (*cut, plant(sample[inside], weight, reach), plant(sample[~inside], weight, reach))
+
+
+def leaves(tree) -> int:
+    return 1 if tree[0] == "leaf" else leaves(tree[2]) + leaves(tree[3])
+
+
+def grafted(tree, grown: dict, at: int = 0):
+    """(tree, next leaf) with the numbered leaves replaced by what grew there."""
+    if tree[0] == "leaf":
+        return grown.get(at, tree), at + 1
+    inner, at = grafted(tree[2], grown, at)
+    outer, at = grafted(tree[3], grown, at)
+    return (*tree[:2], inner, outer), at
 
 
 def route(tree, points: np.ndarray, reach: int):
@@ -119,6 +143,45 @@ def route(tree, points: np.ndarray, reach: int):
     return out
 
 
+def _homes(held):
+    def run(batches):
+        tree = held.value
+        for batch in batches:
+            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for shard, home, _ in route(tree, points, -1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(home), shard, dtype=np.int32)), pa.array(points[home].view(np.int64))], ["shard", "fp"])
+
+    return run
+
+
+def _plant_pass(weight: float, reach: int):
+    def run(table: pa.Table) -> pa.Table:
+        points = np.sort(table.column("fp").to_numpy().view(np.uint64))
+        # sorted and then spread, so that the candidates of a cut are any of them and the same in every run
+        spread = points[np.argsort(points * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
+        return pa.table({"shard": [table.column("shard")[0].as_py()], "tree": [pickle.dumps(plant(spread, weight, reach))]}, schema=_GROWN)
+
+    return run
+
+
+_GROWN = pa.schema([("shard", pa.int32()), ("tree", pa.binary())])
+
+
+def upper_tree(points: DataFrame, total: int, reach: int):
+    """A tree whose leaves stand for about SHARD of the ``total`` distinct fingerprints; each turn divides its large leaves."""
+    tree, size = ("leaf",), 0
+    while size < total and total > SHARD:
+        before = leaves(tree)
+        size = SAMPLE * before
+        held = Shared(points.sparkSession, tree)
+        sample = points.select("fp").where(hashed_share("fp", size, total, before)).mapInArrow(_homes(held), "shard int, fp long")
+        grown = sample.groupBy("shard").applyInArrow(_plant_pass(max(1.0, total / size), reach), "shard int, tree binary").collect()
+        tree, _ = grafted(tree, {r[0]: pickle.loads(r[1]) for r in grown})
+        if leaves(tree) == before:
+            break
+    return tree
+
+
 def _route(held, reach: int):
     def run(batches):
         tree = held.value
@@ -141,25 +204,6 @@ def _route(held, reach: int):
     return run
 
 
-class Forest:
-    """Union-find that remembers only parents."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-
 def linked(points: np.ndarray, home: np.ndarray, reach: int, on_pairs) -> None:
     """Calls on_pairs(left rows, right rows) with every pair within reach that has a home row on the right side."""
 
@@ -206,6 +250,13 @@ def _shard_links(reach: int):
     return run
 
 
+def close_edges(distinct: DataFrame, distance: int) -> DataFrame:
+    """Spanning edges (a, b) between the ``rep`` of fingerprints of ``distinct(fp, rep)`` that differ in so many bits or fewer."""
+    held = Shared(distinct.sparkSession, upper_tree(distinct, distinct.count(), distance))
+    routed = distinct.select("fp", "rep").mapInArrow(_route(held, distance), "shard int, fp long, rep long, home boolean")
+    return routed.groupBy("shard").applyInArrow(_shard_links(distance), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     spark = documents.sparkSession
@@ -215,13 +266,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
         documents.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "prints"
     )
     distinct = scratch.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "distinct")
-    total = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64)
-    depth = max(0, math.ceil(math.log2(max(1, total / SHARD))))
-    held = spark.sparkContext.broadcast(plant(sample.view(np.uint64), depth, distance))
-    routed = distinct.mapInArrow(_route(held, distance), "shard int, fp long, rep long, home boolean")
-    edges = routed.groupBy("shard").applyInArrow(_shard_links(distance), "a long, b long")
-    parts = connected_components(spark, edges, scratch)
+    parts = connected_components(spark, close_edges(distinct, distance), scratch)
     labelled = distinct.join(parts, distinct["rep"] == parts["node"], "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
@@ -229,6 +274,18 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
     return prints.join(labelled, "fp", "left").select("doc_id", "fp", component)
 
 
+def similar_documents(documents: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, component_id) by links of Jaccard similarity 4/5 or more; rows whose doc_id is null are left out."""
+    scratch = Scratch(documents.sparkSession, "similar")
+
+    def close(prints: DataFrame) -> DataFrame:
+        distinct = scratch.keep(prints.groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
+        equal = prints.join(distinct, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+        return equal.unionByName(close_edges(distinct, distance))
+
+    return shingle_join.near_duplicates(documents, shingle, close=close)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

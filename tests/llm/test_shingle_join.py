@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tallywright.llm import shingle_join
+from tallywright.llm import shingle_join, simhash
 
 
 def brute(texts):
@@ -48,18 +48,26 @@ def test_components_by_brute_force(spark, documents, sample):
         texts += [base + " " + notice]
     group = " ".join(f"g{k}" for k in range(200))
     texts += [changed(rng, group, rng.randrange(1, 6)) for _ in range(60)]
+    # a cloud: copies of one text too far from it, and from most of each other, to be linked by it
+    cloud = " ".join(f"c{k}" for k in range(100))
+    texts += [changed(rng, cloud, rng.randrange(2, 8)) for _ in range(80)]
     rng.shuffle(texts)
     df = documents(texts)
     got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(df.repartition(3), sample=sample).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
     assert shingle_join.near_duplicates(df.limit(0)).count() == 0
+    small = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(df, sample=sample, block=300, small=1).collect()}
+    tree = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert small == got and tree == got
 
 
 def test_prefixes_hold_rare_shingles_first():
     codes = np.arange(1, 11, dtype=np.uint64)
     hot = np.array([1, 2], dtype=np.uint64)
-    assert shingle_join.prefix(codes, hot, np.array([9, 4])).tolist() == [3, 4, 5]
-    assert len(shingle_join.prefix(codes[:1], hot, np.array([9, 4]))) == 1
+    found, rare = shingle_join.prefix(codes, hot, np.array([9, 4]))
+    assert (found.tolist(), rare) == ([3, 4, 5], 3)
+    found, rare = shingle_join.prefix(codes[:2], hot, np.array([9, 4]))
+    assert (found.tolist(), rare) == ([2], 0)
 
 
 def test_stage_drops_near_copies_of_similarity_four_fifths(spark, documents):
