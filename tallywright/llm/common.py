@@ -4,6 +4,7 @@ helpers and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ class Scratch:
             pass
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go once the driver's JVM has collected their handles; by itself it may not for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Shared:
     """A value for tasks, broadcast as bytes that carry its classes: workers need not have this package."""
 

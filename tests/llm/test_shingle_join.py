@@ -79,3 +79,47 @@ def test_stage_drops_near_copies_of_similarity_four_fifths(spark, documents):
         texts += [base, changed(rng, base, 2)]
     kept = pipeline.near_duplicates(spark, documents(texts), "")
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 40, 2))
+
+
+def test_bitmaps_leave_every_similar_pair_open():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 63, 64, 65, 80, 127, 129, 300, 1000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        sets = [np.unique(base), *[np.unique(np.concatenate([base[: n - k], rng.integers(0, 2**63, k // 2).astype(np.uint64)])) for k in range(0, n // 8 + 1, max(1, n // 40))]]
+        sets = [s for s in sets if len(s)]
+        rows, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+        links = shingle_join.unit_links(sets, rows, rows, rows)
+        left_open = shingle_join.bitmap_links([shingle_join.bitmap(s) for s in sets], sizes, rows, rows, rows)
+        joined = shingle_join.Forest(len(sets))
+        for i, j in left_open:
+            joined.join(i, j)
+        assert all(joined.root(i) == joined.root(j) for i, j in links)
+    apart = [np.unique(rng.integers(0, 2**63, 700).astype(np.uint64)) for _ in range(50)]
+    rows = np.arange(50)
+    assert shingle_join.bitmap_links([shingle_join.bitmap(s) for s in apart], np.full(50, 700), rows, rows, rows) == []
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of the tables that the join writes, by name; shingles are dealt in turns."""
+    rows = {}
+
+    class Noted(shingle_join.Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            rows[name] = rows.get(name, 0) + out.count()
+            return out
+
+    monkeypatch.setattr(shingle_join, "Scratch", Noted)
+    monkeypatch.setattr(shingle_join, "TURN", 500, raising=False)
+    return rows
+
+
+def test_whole_sets_move_only_for_pairs_that_may_be_similar(documents, written):
+    rng = random.Random(8)
+    notice = " ".join(f"licence{k}" for k in range(40))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + " " + notice for _ in range(60)]
+    texts.append(changed(rng, texts[3], 2))
+    found = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(documents(texts), sample=0, small=4).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts)
+    assert sum(n for name, n in written.items() if name.endswith("-sets")) <= 4
