@@ -19,7 +19,8 @@ components of all edges follow from distributed star rounds.
 sets, 4/5 or more, in place of a number of bits. At that similarity
 fingerprints are expected to differ in ten bits, a radius at which a tree over
 64 bits no longer divides. The tree therefore gives the close pairs, which
-whole sets confirm, and ``shingle_join`` finds the rest exactly.
+whole sets confirm, and ``shingle_join`` finds the rest exactly: shingles
+whose nodes the tree's links bring together go no further.
 
 Edge cases: null, empty and all-space texts have fingerprint zero and link
 like others; a text of one or two words is one shingle; repeated rows share a

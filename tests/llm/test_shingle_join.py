@@ -123,3 +123,16 @@ def test_whole_sets_move_only_for_pairs_that_may_be_similar(documents, written):
     found = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(documents(texts), sample=0, small=4).collect()}
     assert [found[i] for i in range(len(texts))] == brute(texts)
     assert sum(n for name, n in written.items() if name.endswith("-sets")) <= 4
+
+
+def test_links_of_the_tree_leave_nothing_to_the_shingles(documents, written):
+    rng = random.Random(9)
+    texts, cache = [], shingle_join.Words()
+    while len(texts) < 20:
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))
+        pair = [base, changed(rng, base, 1)]
+        a, b = (shingle_join.fingerprint(shingle_join.shingles(t.encode(), cache)) for t in pair)
+        texts += pair if (a ^ b).bit_count() <= simhash.DISTANCE else []
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts)).collect()}
+    assert [found[i] for i in range(20)] == [i - i % 2 for i in range(20)]
+    assert sum(n for name, n in written.items() if name.startswith("shared")) == 0
